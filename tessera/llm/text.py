@@ -10,6 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
 SLICE = 4 << 20
@@ -146,7 +147,7 @@ def blocks(batches, column: str, limit: int):
         if not batch.num_rows:
             continue
         texts = batch.column(column)
-        lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0).cast(pa.int64()))
+        lengths = np.asarray(pc.binary_length(texts).fill_null(0).cast(pa.int64()))
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         for i, j in slices(at, limit):
             yield batch.slice(i, j - i)
