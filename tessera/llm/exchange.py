@@ -19,7 +19,7 @@ from . import text as T
 #: Bytes of text for which there is one part of an exchange.
 PART_BYTES = 8 << 20
 #: Bytes of text in a block of a map task.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 

@@ -6,14 +6,12 @@ ASCII, so bytes and code points give the same words. Nulls count as empty texts.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[0x20] = _SEP[0x09:0x0E] = True
@@ -40,16 +38,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+#: Powers beyond these many are made anew each time, so that one long text leaves no memory behind.
+_HELD = 3 << 19
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    size = 1 << max(10, int(n).bit_length())
-    return _powers(int(base), size)[:n]
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 10), base, np.uint64)
+        held[0] = 1
+        held = np.cumprod(held, dtype=np.uint64)
+        if n <= _HELD:
+            _POWERS[int(base)] = held
+    return held[:n]
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
