@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 #: Labelled rows to fit on at most: those with the least hashes of their doc_id.
-SAMPLE = 12_000
+SAMPLE = 5_000
 BITS = 18
 #: Lengths in bytes of the beginnings of a word that are features, and of its ending.
 PREFIXES, SUFFIX = (4, 5, 6, 7, 8), 4
