@@ -109,7 +109,7 @@ def class_counts(docs: DataFrame) -> DataFrame:
 
     def emit(batches):
         total = np.zeros(CLASSES**4, np.int64)
-        for block in T.blocks((b for b in batches), "text", X.BLOCK_BYTES):
+        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
             kind, context = histories(*tokens(block.column("text")))
             cells, n = np.unique(context.astype(np.int64) * CLASSES + kind, return_counts=True)
             total[cells] += n
@@ -137,9 +137,10 @@ def _cells(cells: np.ndarray, n: np.ndarray):
 
 
 def _start(counts: np.ndarray) -> Weights:
-    """Weights to begin with: log shares of classes, then how bigrams and trigrams, backed off, differ from them."""
+    """Weights to begin with, from counts of the last two classes and the next: log shares, and how bigrams and trigrams, backed off, differ from them."""
     rows = [np.zeros((n, CLASSES)) for n in Weights.sizes()]
-    one = counts.sum(0)[None] + 1.0
+    by = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
+    one = by.sum((0, 1))[None] + 1.0
     p0 = one / one.sum()
     rows[0][:] = np.log(p0)
 
@@ -147,27 +148,38 @@ def _start(counts: np.ndarray) -> Weights:
         total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
         return (n + (kinds + 1) * lower) / (total + kinds + 1)
 
-    by = counts.reshape(CLASSES, CLASSES, CLASSES, CLASSES)
-    p1 = backed(by.sum((0, 1)), p0)
-    p2 = backed(by.sum(0).reshape(-1, CLASSES), np.tile(p1, (CLASSES, 1)))
+    p1 = backed(by.sum(0), p0)
+    p2 = backed(by.reshape(-1, CLASSES), np.tile(p1, (CLASSES, 1)))
     rows[1][:] = np.log(p1) - np.log(p0)
     rows[4][:] = np.log(p2) - np.log(np.tile(p1, (CLASSES, 1)))
     return Weights(rows)
 
 
+def _short_counts(shards: DataFrame) -> np.ndarray:
+    """How often each class follows the last two: CLASSES^3 numbers, added up from the shards."""
+
+    def emit(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                own = X.unseal(blob.as_py())
+                cell = own["cell"].to_numpy().astype(np.int64)
+                n = np.bincount(cell // CLASSES % CLASSES**2 * CLASSES + cell % CLASSES, own["n"].to_numpy(), CLASSES**3)
+                yield pa.record_batch({"n": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+
+    total = np.zeros(CLASSES**3, np.int64)
+    for row in shards.mapInArrow(emit, "n binary").toLocalIterator():
+        total += np.frombuffer(bytes(row.n), np.int64)
+    return total
+
+
 def train(shards: DataFrame, rounds: int = ROUNDS) -> Weights:
     """Fits class weights to counts by distributed gradient updates with adaptive steps.
 
-    There are at most CLASSES^4 counts, however large the corpus; the driver reads them once to choose where to begin.
+    The shards hold at most CLASSES^4 counts, however large the corpus; the driver sees sums of them only.
     """
-    counts = np.zeros(CLASSES**4)
-    for row in shards.toLocalIterator():
-        own = X.unseal(bytes(row.blob))
-        counts[own["cell"].to_numpy()] = own["n"].to_numpy()
-    weights = _start(counts.reshape(-1, CLASSES))
-    total = counts.sum()
-    del counts
-    if not total:
+    counts = _short_counts(shards)
+    weights = _start(counts)
+    if not counts.any():
         return weights
     held = [np.full_like(w, 1e-8) for w in weights.rows]
     spark = shards.sparkSession
@@ -198,13 +210,13 @@ def train(shards: DataFrame, rounds: int = ROUNDS) -> Weights:
 
         def add(key, table: pa.Table) -> pa.Table:
             g = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["g"])
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["k", "g"])
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], names=["k", "g"])
 
         for row in shards.mapInArrow(gradient, "k int, g binary").groupBy("k").applyInArrow(lambda k, t: add(k, t), "k int, g binary").toLocalIterator():
-            g = np.frombuffer(bytes(row.g)).reshape(weights.rows[row.k].shape) - RIDGE * weights.rows[row.k]
+            g = np.frombuffer(bytes(row.g), np.float32).reshape(weights.rows[row.k].shape) - RIDGE * weights.rows[row.k]
             held[row.k] += g**2
             weights.rows[row.k] += RATE * g / np.sqrt(held[row.k])
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 

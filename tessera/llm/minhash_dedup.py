@@ -116,29 +116,31 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Rows of buckets' groups of equal keys: pairs (a, b) of a group's least set and another; and the groups (members)."""
+    """Rows of buckets' groups of equal keys: pairs (a, b) of a group's least set and another; and the groups (members).
+
+    Within a bucket 40 bits of a key are compared: a few pairs for each bucket that share no key are candidates too.
+    """
 
     def emit(batches):
+        table = np.arange(SUB * SUB, dtype=np.uint64).reshape(1, SUB, SUB) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
                 n = part.num_rows
                 sid = np.asarray(part.column("sid"))
                 small = np.frombuffer(b"".join(part.column("small").to_pylist()), np.uint64).reshape(n, 2 * SUB)
-                for i in range(SUB):  # a row of tables at a time
-                    table = np.arange(i * SUB, (i + 1) * SUB, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    keys = T.mix(small[:, i : i + 1] * np.uint64(0xD6E8FEB86659FD93) + small[:, SUB:] + table).reshape(-1)
-                    row = np.repeat(np.arange(n, dtype=np.uint16), SUB)
-                    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-                    for b, which in X.grouped(bucket):
-                        yield pa.record_batch({
-                            "bucket": pa.array([b], pa.int32()), "keys": pa.array([keys[which].tobytes()], pa.binary()),
-                            "rows": pa.array([row[which].tobytes()], pa.binary()), "sids": pa.array([sid.tobytes()] if len(which) >= n else [np.where(np.bincount(row[which], minlength=n) > 0, sid, 0).tobytes()], pa.binary()),
-                        })
+                keys = T.mix((small[:, :SUB, None] * np.uint64(0xD6E8FEB86659FD93) + small[:, None, SUB:] + table).reshape(-1))
+                row = np.repeat(np.arange(n, dtype=np.uint16), SUB * SUB)
+                bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+                for b, which in X.grouped(bucket):
+                    own, runs = keys[which], np.bincount(row[which], minlength=n)
+                    raw = [own.astype(np.uint32).tobytes(), (own >> np.uint64(32)).astype(np.uint8).tobytes(), runs.astype(np.uint16).tobytes(), np.where(runs > 0, sid, 0).tobytes()]
+                    yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["bucket", "low", "high", "runs", "sids"])
 
     def settle(key, table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]])
-        sid = np.concatenate([np.frombuffer(s.as_py(), np.int64)[np.frombuffer(r.as_py(), np.uint16)] for s, r in zip(table["sids"], table["rows"], strict=True)])
+        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table[c]]
+        keys = np.concatenate(read("high", np.uint8)).astype(np.uint64) << np.uint64(32) | np.concatenate(read("low", np.uint32))
+        sid = np.concatenate([np.repeat(s, r) for s, r in zip(read("sids", np.int64), read("runs", np.uint16), strict=True)])
         order = np.argsort(keys)
         keys = keys[order]
         equal = keys[1:] == keys[:-1]
@@ -154,7 +156,7 @@ def _buckets(nodes: DataFrame, buckets: int) -> DataFrame:
         a = np.r_[pairs[:, 0], 0]
         return pa.table([a, np.r_[pairs[:, 1], 0], pa.array([None] * len(pairs) + [members], pa.binary()), pa.array([key[0].as_py()] * len(a), pa.int32())], schema=_FOUND)
 
-    sent = nodes.mapInArrow(emit, "bucket int, keys binary, rows binary, sids binary")
+    sent = nodes.mapInArrow(emit, "bucket int, low binary, high binary, runs binary, sids binary")
     return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "a long, b long, members binary, bucket int")
 
 
@@ -177,7 +179,7 @@ def _allowed(pairs: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
 
 
 def _part(column, parts: int):
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+    return F.pmod(F.col(column), F.lit(parts)).cast("int")
 
 
 def _sets(blobs, wanted: np.ndarray, width: int):
@@ -248,21 +250,15 @@ def _text_parts(docs: DataFrame, width: int, parts: int) -> DataFrame:
     """Rows (part, blob): sealed (sid, text) of the documents, by part of their set's hash."""
 
     def emit(batches):
-        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
-            sets, first = shingle_sets(block.column("text"), width)
-            table = pa.table({"sid": set_ids(sets, first), "text": block.column("text").cast(pa.large_string())})
-            _, keep = np.unique(table["sid"].to_numpy(), return_index=True)  # copies once
-            table = table.take(pa.array(np.sort(keep)))
-            yield pa.record_batch({"sid": table["sid"].combine_chunks(), "text": table["text"].combine_chunks()})
-
-    def seal(batches):
-        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
-            table = pa.table({"sid": block.column("sid"), "text": block.column("text")})
-            for part, rows in X.grouped(np.asarray(block.column("part"))):
-                yield pa.record_batch({"part": pa.array([part], pa.int32()), "blob": pa.array([X.seal(table.take(pa.array(rows)).combine_chunks())], pa.binary())})
-
-    own = docs.select("text").mapInArrow(emit, "sid long, text string").where("sid <> 0")
-    return own.select(_part("sid", parts).alias("part"), "sid", "text").mapInArrow(seal, "part int, blob binary")
+        for block in T.blocks(batches, "text", BLOCK):
+            sid = set_ids(*shingle_sets(block.column("text"), width))
+            ids, rows = np.unique(sid, return_index=True)  # copies once
+            rows = rows[ids != 0]
+            table = pa.table({"sid": sid[rows], "text": block.column("text").cast(pa.large_string()).take(pa.array(rows))})
+            for part, own in X.grouped((sid[rows] % parts).astype(np.int32)):
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "blob": pa.array([X.seal(table.take(pa.array(own)).combine_chunks())], pa.binary())})
+
+    return docs.select("text").mapInArrow(emit, "part int, blob binary")
 
 
 def _unconnected(found: DataFrame, labels: DataFrame, info: DataFrame, similarity: int) -> DataFrame:

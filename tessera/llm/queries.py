@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extraction, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, toxicity, warc
+from . import decontaminate, html_extraction, line_dedup, lm_scoring, minhash_dedup, packing, quality_rules, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -61,7 +65,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=20, with_text=False).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
@@ -71,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,4 +131,25 @@ ORACLES: dict[str, str] = {
         c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op1_line_dedup": r"""
+        WITH pieces AS (
+            SELECT doc_id, i AS line, p[i] AS piece, regexp_replace(p[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+        judged AS (SELECT doc_id, line, s, doc_id * 100000000 + line AS pos FROM pieces WHERE length(s) >= 10),
+        d AS (SELECT s, min(pos) AS pos, length(s) AS n FROM judged GROUP BY s),
+        v AS (SELECT s, pos, n, i, hash(substr(s, 1, i - 1) || substr(s, i + 1)) AS h FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 20)),
+        near AS (
+            SELECT b.s FROM v AS a JOIN v AS b ON a.h = b.h AND a.i = b.i AND a.n = b.n AND a.pos < b.pos
+            WHERE substr(a.s, 1, a.i - 1) = substr(b.s, 1, b.i - 1) AND substr(a.s, a.i + 1) = substr(b.s, b.i + 1)
+            UNION
+            SELECT CASE WHEN v.pos > d.pos THEN v.s ELSE d.s END FROM v JOIN d ON v.h = hash(d.s) AND v.n = d.n + 1 AND d.n >= 20
+            WHERE substr(v.s, 1, v.i - 1) || substr(v.s, v.i + 1) = d.s),
+        gone AS (
+            SELECT doc_id, line FROM judged JOIN d USING (s) WHERE judged.pos > d.pos
+            UNION SELECT doc_id, line FROM judged JOIN near USING (s)),
+        kept AS (
+            SELECT p.doc_id, count(*) FILTER (s <> '') AS n_lines, count(g.line) AS n_removed,
+                   coalesce(string_agg(piece, chr(10) ORDER BY p.line) FILTER (g.line IS NULL), '') AS t
+            FROM pieces AS p LEFT JOIN gone AS g ON p.doc_id = g.doc_id AND p.line = g.line GROUP BY 1)
+        SELECT doc_id, n_lines, n_removed, sha256(t) AS text_sha256 FROM kept""",
 }

@@ -133,13 +133,17 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 1) -> Model:
         return none
     features, word = _distinct(low, starts, ends, hashes)
     doc = np.repeat(np.arange(len(rows)), np.diff(first))
-    # words by document once, then features by document once
-    pairs = np.unique(doc.astype(np.int64) * len(features) + word)
-    d, w = pairs // len(features), pairs % len(features)
-    seen = np.unique((d[:, None] << BITS | features[w]).ravel())
-    toxic_doc = y[seen >> BITS] > 0
-    slot = seen & ((1 << BITS) - 1)
-    pos, neg = np.bincount(slot[toxic_doc], minlength=1 << BITS), np.bincount(slot[~toxic_doc], minlength=1 << BITS)
+    # words by document once, then features by document once, some documents at a time
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for low_doc in range(0, len(rows), 250):
+        a, b = first[low_doc], first[min(low_doc + 250, len(rows))]
+        pairs = np.unique(doc[a:b].astype(np.int64) * len(features) + word[a:b])
+        d, w = pairs // len(features), pairs % len(features)
+        seen = np.unique((d[:, None] << BITS | features[w]).ravel())
+        toxic_doc = y[seen >> BITS] > 0
+        slot = seen & ((1 << BITS) - 1)
+        pos += np.bincount(slot[toxic_doc], minlength=1 << BITS)
+        neg += np.bincount(slot[~toxic_doc], minlength=1 << BITS)
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     bound = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
