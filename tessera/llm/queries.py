@@ -152,4 +152,19 @@ ORACLES: dict[str, str] = {
                    coalesce(string_agg(piece, chr(10) ORDER BY p.line) FILTER (g.line IS NULL), '') AS t
             FROM pieces AS p LEFT JOIN gone AS g ON p.doc_id = g.doc_id AND p.line = g.line GROUP BY 1)
         SELECT doc_id, n_lines, n_removed, sha256(t) AS text_sha256 FROM kept""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda j : array_to_string(w[j : j + 19], ' '))) AS k
+            FROM d WHERE len(w) >= 20),
+        firsts AS (SELECT k, min(doc_id * 100000000 + i) AS pos FROM grams GROUP BY k),
+        gone AS (
+            SELECT DISTINCT doc_id, p
+            FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM grams JOIN firsts USING (k) WHERE doc_id * 100000000 + i > pos)),
+        words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (
+            SELECT w.doc_id, count(g.p) AS n_removed, string_agg(x, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS t
+            FROM words AS w LEFT JOIN gone AS g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
