@@ -40,6 +40,82 @@ def introspect_catalog(spark: SparkSession, database: str | None = None, **hints
     return introspect({n: spark.table(f"{database}.{n}" if database else n) for n in names}, **hints)
 
 
+# Databases. Type names of information_schema, and the Spark types that masks fit; others stay unmasked.
+_DATABASE_TYPES = {
+    "postgresql": {"character": "string", "character varying": "string", "text": "string", "smallint": "smallint", "integer": "int", "bigint": "bigint", "numeric": "decimal(38,18)", "real": "float", "double precision": "double", "boolean": "boolean", "date": "date", "timestamp without time zone": "timestamp_ntz", "timestamp with time zone": "timestamp", "json": "variant", "jsonb": "variant"},
+    "mysql": {"char": "string", "varchar": "string", "tinytext": "string", "text": "string", "mediumtext": "string", "longtext": "string", "tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int", "bigint": "bigint", "decimal": "decimal(38,18)", "float": "float", "double": "double", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "json": "variant"},
+}
+
+
+def introspection_queries(adapter: str, schema: str) -> dict[str, str]:
+    """Queries for a database's columns, primary keys, single-column foreign keys and unique columns; views are left out."""
+    if adapter not in _DATABASE_TYPES:
+        raise C.ConfigError(f"no introspection for {adapter!r}")
+    own = "'" + schema.replace("'", "''") + "'"
+    kind = "c.column_type" if adapter == "mysql" else "c.data_type"
+    usage = "information_schema.key_column_usage k JOIN information_schema.table_constraints t ON t.constraint_name = k.constraint_name AND t.table_schema = k.table_schema AND t.table_name = k.table_name"
+    parent = "k.referenced_table_name" if adapter == "mysql" else "u.table_name"
+    joined = "" if adapter == "mysql" else " JOIN information_schema.constraint_column_usage u ON u.constraint_name = k.constraint_name AND u.table_schema = k.table_schema"
+    return {
+        "columns": f"SELECT c.table_name, c.column_name, c.data_type, {kind} AS full_type, c.character_maximum_length AS length, c.column_default FROM information_schema.columns c JOIN information_schema.tables t ON t.table_schema = c.table_schema AND t.table_name = c.table_name WHERE c.table_schema = {own} AND t.table_type = 'BASE TABLE' ORDER BY c.table_name, c.ordinal_position",
+        "keys": f"SELECT k.table_name, k.column_name FROM {usage} WHERE t.constraint_type = 'PRIMARY KEY' AND k.table_schema = {own} ORDER BY k.table_name, k.ordinal_position",
+        "relations": f"SELECT k.constraint_name, k.table_name, k.column_name, {parent} AS parent FROM {usage}{joined} WHERE t.constraint_type = 'FOREIGN KEY' AND k.table_schema = {own} ORDER BY k.table_name, k.ordinal_position",
+        "unique": f"SELECT k.table_name, k.column_name FROM {usage} WHERE t.constraint_type = 'UNIQUE' AND k.table_schema = {own}",
+    }
+
+
+def _default(text: str | None, kind: P.DataType) -> C.Scalar | None:
+    """A column's default, if it is a constant; an expression such as now() is none."""
+    if text is None:
+        return None
+    text = re.sub(r"::[\w ]+(\(\d+\))?$", "", str(text)).strip().strip("'")
+    if isinstance(kind, P.BooleanType):
+        return {"true": True, "1": True, "false": False, "0": False}.get(text.lower())
+    if isinstance(kind, P.NumericType):
+        return (float(text) if "." in text else int(text)) if re.fullmatch(r"-?\d+(\.\d+)?", text) else None
+    if isinstance(kind, P.DateType):
+        return text if re.fullmatch(r"\d{4}-\d\d-\d\d", text) else None
+    return None
+
+
+def found_of_rows(adapter: str, columns: list[tuple], keys: list[tuple], relations: list[tuple], unique: list[tuple]) -> list[Found]:
+    """Tables from the rows of introspection_queries(). Types that no mask fits become binary; composite foreign keys are left out."""
+    kinds = _DATABASE_TYPES[adapter]
+    by: dict[str, dict] = {}
+    for name, column, kind, full, length, default in columns:
+        t = by.setdefault(name, {"schema": P.StructType(), "limits": {}, "defaults": {}})
+        spark = "boolean" if adapter == "mysql" and full == "tinyint(1)" else kinds.get(kind, "binary")
+        t["schema"].add(column, spark)
+        if length is not None:
+            t["limits"][column] = int(length)
+        if (value := _default(default, t["schema"][column].dataType)) is not None:
+            t["defaults"][column] = value
+    own: dict[str, list[str]] = {}
+    for name, column in keys:
+        own.setdefault(name, []).append(column)
+    links: dict[str, list[tuple]] = {}
+    for constraint, name, column, parent in relations:
+        links.setdefault((constraint, name), []).append((column, parent))
+    out = []
+    for name, t in by.items():
+        key = own.get(name, [])
+        single = tuple(v[0] for (_, n), v in links.items() if n == name and len({c for c, _ in v}) == 1)
+        out.append(Found(name, t["schema"], key[0] if len(key) == 1 else tuple(key) or None, single, frozenset(c for n, c in unique if n == name), t["limits"], t["defaults"]))
+    return out
+
+
+def introspect_database(spark: SparkSession, adapter: str, url: str, schema: str, **options) -> list[Found]:
+    """Tables of a database, read over JDBC."""
+    from .sources import jdbc_options
+
+    rows = {}
+    for what, sql in introspection_queries(adapter, schema).items():
+        o = jdbc_options(adapter, url, what, **options)
+        o["dbtable"] = f"({sql.split(' ORDER BY ')[0]}) AS q"
+        rows[what] = [tuple(r) for r in spark.read.format("jdbc").options(**o).load().collect()]
+    return found_of_rows(adapter, rows["columns"], rows["keys"], rows["relations"], rows["unique"])
+
+
 def infer_key(df: DataFrame) -> str | None:
     """The first column whose values are all there and all distinct: exact, in one aggregate for all columns."""
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (P.ArrayType, P.MapType, P.StructType, P.FloatType, P.DoubleType))]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .config import ConfigError, Schema, Table
 from .graph import genuine
 from .operators.lower import Lowering
@@ -104,9 +102,3 @@ class DocumentResolver:
             return [int(v) for v in values if str(v).lstrip("-").isdigit()]
         return [str(v) for v in values]
 
-
-def flattened_keys(rows, column: str):
-    """Values of a field that may be an array, without nulls, each once."""
-    c = F.col(f"`{column}`")
-    kind = rows.schema[column].dataType.typeName()
-    return (rows.select(F.explode(c).alias("__key")) if kind == "array" else rows.select(c.alias("__key"))).where("__key is not null").distinct()

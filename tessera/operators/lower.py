@@ -43,10 +43,12 @@ class Lowering:
         return self._known[node]
 
     def keys(self, keys: Keys) -> DataFrame:
-        """One column of values, without nulls, for a semi join."""
+        """One column of values, without nulls, for a semi join; of a field that holds arrays, their elements."""
         if keys not in self._known:
             if isinstance(keys, KeysOf):
-                made = self.rows(keys.source).select(F.col(f"`{keys.column}`").alias(_KEY)).where(F.col(_KEY).isNotNull())
+                rows, c = self.rows(keys.source), F.col(f"`{keys.column}`")
+                c = F.explode(c) if isinstance(rows.schema[keys.column].dataType, P.ArrayType) else c
+                made = rows.select(c.alias(_KEY)).where(F.col(_KEY).isNotNull())
             else:
                 parts = [self.keys(k) for k in keys.keys]
                 if len({p.schema[0].dataType for p in parts}) > 1:

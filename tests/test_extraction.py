@@ -117,3 +117,10 @@ def test_plan_pushes_filters_into_the_scan(spark):
 
     plan = QUERIES["flagship"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(c_nationkey, [3,4])" in plan and "o_orderdate" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_keys_of_array_fields(spark):
+    objects = [X.d("roots", ["_id"]), X.d("lists", ["_id", "root", "members"], [("root", "roots")]), X.d("people", ["_id"], reverse_scope={"via": [{"table": "lists", "column": "members"}]})]
+    data = {"roots": ("_id string", [("r",)]), "lists": ("_id string, root string, members array<string>", [("1", "r", ["a", "b", None]), ("2", "x", ["c"]), ("3", "r", None)]), "people": ("_id string", [("a",), ("b",), ("c",)])}
+    _, got = kept(spark, objects, lambda s: X.frames(s, data), Request.of("roots", ["r"]))
+    assert got["people"] == ["a", "b"]

@@ -151,3 +151,16 @@ def test_streams(spark, tmp_path):
     patch_batches(scoped_stream(stream, "id", [1, 3]), table, lambda rows, n: seen.extend(map(tuple, rows.collect())), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [(1, "m1", 0, "T"), (3, "m3", 0, None)]
     assert masked_stream(stream, table).isStreaming
+
+
+def test_database_rows(spark):
+    columns = [("users", "id", "bigint", "bigint", None, None), ("users", "mail", "character varying", "character varying", 255, None), ("users", "ok", "boolean", "boolean", None, "true"), ("users", "n", "integer", "integer", None, "5"), ("users", "at", "date", "date", None, "now()"), ("users", "kind", "USER-DEFINED", "mood", None, None), ("users", "org_id", "bigint", "bigint", None, None), ("pairs", "a", "bigint", "bigint", None, None), ("pairs", "b", "bigint", "bigint", None, None)]
+    found = K.found_of_rows("postgresql", columns, [("users", "id"), ("pairs", "a"), ("pairs", "b")], [("f1", "users", "org_id", "orgs"), ("f2", "pairs", "a", "x"), ("f2", "pairs", "b", "x")], [("users", "mail")])
+    users = {c["name"]: c.get("replace_with") for c in K.generate(found)["users"]["columns"]}
+    assert users == {"id": None, "mail": "masked-{id}@example.com", "ok": True, "n": 5, "at": "2000-01-01", "kind": None, "org_id": None}
+    assert found[1].primary_key == ("a", "b") and found[1].foreign_keys == () and found[0].foreign_keys == (("org_id", "orgs"),)
+    mysql = K.found_of_rows("mysql", [("t", "f", "tinyint", "tinyint(1)", None, "1")], [], [], [])
+    assert isinstance(mysql[0].schema["f"].dataType, P.BooleanType) and mysql[0].defaults == {"f": True}
+    assert "table_schema = 'a''b'" in K.introspection_queries("mysql", "a'b")["keys"]
+    with pytest.raises(C.ConfigError):
+        K.introspection_queries("sqlite", "x")

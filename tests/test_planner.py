@@ -115,3 +115,13 @@ def test_classes_of_collections():
     objects = [d("shops", ["_id"]), d("brands", ["_id"]), d("products", ["_id", "shop_id", "brand_id"], [("shop_id", "shops"), ("brand_id", "brands")]), d("settings", ["_id"]), d("region_settings", ["_id", "s"], [("s", "settings")]), d("locales", ["_id", "r"], [("r", "region_settings")])]
     assert document_classes(schema(objects), "shops") == {"shops": "genuine", "brands": "leaf", "products": "genuine", "settings": "leaf", "region_settings": "reference", "locales": "reference"}
     assert reference_components(schema(objects), "shops") == [["region_settings", "locales"]]
+
+
+def test_arms_come_before_their_hub():
+    from .fixtures import DOCUMENTS
+
+    order, _ = load_order(schema(DOCUMENTS), arms_first=True)
+    assert order.index("articles") < order.index("accounts") < order.index("profiles") and order.index("invitations") < order.index("accounts")
+    loop = [d("a", ["_id"], reverse_scope={"via": [{"table": "b", "column": "_id"}]}), d("b", ["_id"], reverse_scope={"via": [{"table": "a", "column": "_id"}]})]
+    with pytest.raises(ConfigError, match="a, b"):
+        load_order(schema(loop), arms_first=True)
