@@ -85,7 +85,7 @@ def found_of_rows(adapter: str, columns: list[tuple], keys: list[tuple], relatio
     for name, column, kind, full, length, default in columns:
         t = by.setdefault(name, {"schema": P.StructType(), "limits": {}, "defaults": {}})
         spark = "boolean" if adapter == "mysql" and full == "tinyint(1)" else kinds.get(kind, "binary")
-        t["schema"].add(column, spark)
+        t["schema"].add(column, P.DataType.fromDDL(spark))
         if length is not None:
             t["limits"][column] = int(length)
         if (value := _default(default, t["schema"][column].dataType)) is not None:
