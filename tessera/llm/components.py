@@ -8,31 +8,36 @@ from pyspark.sql import functions as F
 from . import exchange as X
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+#: Edges for which there is one task.
+TASK_EDGES = 100_000
+
+
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """Joins neighbours of each node to its least neighbour: the greater ones (large star) or the lesser ones (small star)."""
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     own = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) if small else edges.unionByName(turned)
     least = own.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    met = own.join(least, own.a == least.node)
+    met = own.join(least, own.a == least.node).coalesce(tasks)
     if small:
-        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
+        out = met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
     else:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """For undirected edges (a, b), rows (node, component): the least node that each can reach. Nodes without edges are absent.
 
     Every round is written to the shared folder, so lineage stays short; nodes with many edges meet only in joins that
-    adaptive execution can split and in aggregates that combine before the shuffle.
+    adaptive execution can split and in aggregates that combine before the shuffle. There are as many tasks as the edges
+    are worth, so that few edges make few files.
     """
-    now = X.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = X.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
-        now = X.cut(_star(_star(now, small=False), small=True))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        mark, tasks = seen, -(-seen[0] // TASK_EDGES)
+        now = X.cut(_star(_star(now.coalesce(tasks), False, tasks), True, tasks))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,6 +6,7 @@ goes to one part, writes it as one compressed Arrow stream, and sends that as a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -34,9 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes the rows now and writes them to the shared folder; later jobs read them from there."""
+    """Computes the rows now and writes them to the shared folder; later jobs read them from there.
+
+    Shuffle files that only led to these rows are then of no use; Spark removes them when the JVM has collected what refers
+    to them, so a collection is asked for, lest every step's files stay until the last.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def parts_for(docs: DataFrame, column: str = "text", part_bytes: int = PART_BYTES) -> int:

@@ -5,10 +5,12 @@ A table's key combines one hash of either collection, so 2 x SUB x ROWS minhash
 SUB^2 tables of 2 x ROWS rows. At similarity s a pair shares no table with probability
 1 - (1 - (1 - s^ROWS)^SUB)^2: 2e-5 at 0.8.
 
-Sets that share a key are candidates. No bucket emits all its pairs: first each member is paired
-with the bucket's least set, pairs are confirmed on full sets, and components are built; then only
-members of one bucket that are still in different components, and that sizes and sketches allow,
-are paired and confirmed. Every candidate pair is thus confirmed or already connected.
+Sets that share a key are candidates. No bucket emits all its pairs: its members are paired with two
+anchors, the one nearest to the members' consensus and a random one, pairs are confirmed on full
+sets, and components are built; this twice, with the first anchor alone and with both. Then only members of one bucket that are still in
+different components, and that sizes and sketches allow, have to be compared: the set of the one in
+the smaller component goes once to each part where such others are, and is compared there. Every
+candidate pair is thus confirmed, refuted or already connected, and no table of pairs is made.
 
 Sets travel as compressed blocks: texts are dealt to parts once, a set goes once to each part that
 needs it, and is compared there. Equal sets are one node, known by a 64-bit hash of the set.
@@ -16,7 +18,7 @@ needs it, and is compared there. Equal sets are one node, known by a 64-bit hash
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,67 +117,63 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return own.mapInArrow(emit, "doc_id long, tag long, n long, sid long, small binary, sketch binary")
 
 
-def _buckets(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Rows of buckets' groups of equal keys: pairs (a, b) of a group's least set and another; and the groups (members).
+def _buckets(nodes: DataFrame, spread: int) -> DataFrame:
+    """A row for each bucket: its groups of two or more sets with equal keys, as numbers into a list of ids.
 
-    Within a bucket 40 bits of a key are compared: a few pairs for each bucket that share no key are candidates too.
+    A bucket holds the tables of one small hash of the first collection, and a share of its values: so a set goes to SUB
+    buckets, however many there are, and brings the second collection once. Of that, 16 bits of each hash are compared, and
+    40 of the first: a few pairs for each bucket that share no key are candidates too.
     """
 
     def emit(batches):
-        table = np.arange(SUB * SUB, dtype=np.uint64).reshape(1, SUB, SUB) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                n = part.num_rows
                 sid = np.asarray(part.column("sid"))
-                small = np.frombuffer(b"".join(part.column("small").to_pylist()), np.uint64).reshape(n, 2 * SUB)
-                keys = T.mix((small[:, :SUB, None] * np.uint64(0xD6E8FEB86659FD93) + small[:, None, SUB:] + table).reshape(-1))
-                row = np.repeat(np.arange(n, dtype=np.uint16), SUB * SUB)
-                bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-                for b, which in X.grouped(bucket):
-                    own, runs = keys[which], np.bincount(row[which], minlength=n)
-                    raw = [own.astype(np.uint32).tobytes(), (own >> np.uint64(32)).astype(np.uint8).tobytes(), runs.astype(np.uint16).tobytes(), np.where(runs > 0, sid, 0).tobytes()]
-                    yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["bucket", "low", "high", "runs", "sids"])
+                small = np.frombuffer(b"".join(part.column("small").to_pylist()), np.uint64).reshape(part.num_rows, 2 * SUB)
+                second = (small[:, SUB:] >> np.uint64(48)).astype(np.uint16)
+                for i in range(SUB):
+                    first = small[:, i]
+                    share = (first >> np.uint64(40)) % np.uint64(spread)
+                    for b, which in X.grouped((i * spread + share).astype(np.int32)):
+                        own = first[which]
+                        raw = [own.astype(np.uint32).tobytes(), (own >> np.uint64(32)).astype(np.uint8).tobytes(), second[which].tobytes(), sid[which].tobytes()]
+                        yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["bucket", "low", "high", "second", "sids"])
 
     def settle(key, table: pa.Table) -> pa.Table:
-        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table[c]]
-        keys = np.concatenate(read("high", np.uint8)).astype(np.uint64) << np.uint64(32) | np.concatenate(read("low", np.uint32))
-        sid = np.concatenate([np.repeat(s, r) for s, r in zip(read("sids", np.int64), read("runs", np.uint16), strict=True)])
+        read = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[c]])
+        first = read("high", np.uint8).astype(np.uint64) << np.uint64(32) | read("low", np.uint32)
+        order = np.argsort(first)
+        equal = first[order[1:]] == first[order[:-1]]
+        order = order[np.r_[equal, False] | np.r_[False, equal]]
+        sid = np.repeat(read("sids", np.int64)[order], SUB)
+        second = read("second", np.uint16).reshape(-1, SUB)[order].astype(np.uint64)
+        keys = T.mix(T.mix(first[order])[:, None] + (np.arange(SUB, dtype=np.uint64) << np.uint64(16)) + second).reshape(-1)
+        if not len(keys):
+            return pa.Table.from_batches([], _GROUPS)
         order = np.argsort(keys)
         keys = keys[order]
         equal = keys[1:] == keys[:-1]
         many = np.r_[equal, False] | np.r_[False, equal]
         sid, keys = sid[order[many]], keys[many]
         if not len(sid):
-            return pa.Table.from_batches([], _FOUND)
+            return pa.Table.from_batches([], _GROUPS)
         begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(sid)]))
-        least = np.minimum.reduceat(sid, begin)[group]
-        pairs = np.unique(np.stack([least, sid], 1)[least != sid], axis=0)
-        members = X.seal(pa.table({"group": group.astype(np.uint32), "sid": sid}))
-        a = np.r_[pairs[:, 0], 0]
-        return pa.table([a, np.r_[pairs[:, 1], 0], pa.array([None] * len(pairs) + [members], pa.binary()), pa.array([key[0].as_py()] * len(a), pa.int32())], schema=_FOUND)
+        size = np.diff(np.r_[begin, len(sid)])
+        # a pair shares many tables: groups of the same members count once
+        name = np.add.reduceat(T.mix(sid.view(np.uint64)), begin) + size.astype(np.uint64)
+        keep = np.zeros(len(begin), bool)
+        keep[np.unique(name, return_index=True)[1]] = True
+        sid = sid[np.repeat(keep, size)]
+        ids, at = np.unique(sid, return_inverse=True)
+        sealed = [X.seal(pa.table({"n": size[keep].astype(np.uint32)})), X.seal(pa.table({"at": at.astype(np.uint32)}))]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in sealed)], schema=_GROUPS)
 
-    sent = nodes.mapInArrow(emit, "bucket int, low binary, high binary, runs binary, sids binary")
-    return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "a long, b long, members binary, bucket int")
+    sent = nodes.mapInArrow(emit, "bucket int, low binary, high binary, second binary, sids binary")
+    return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "bucket int, ids array<long>, sizes binary, members binary")
 
 
-_FOUND = pa.schema({"a": pa.int64(), "b": pa.int64(), "members": pa.binary(), "bucket": pa.int32()})
-
-
-def _allowed(pairs: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) whose sizes and sketches allow the similarity."""
-    left = info.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = info.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    sized = pairs.distinct().join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-
-    def keep(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ka", "kb"))
-                yield batch.select(["a", "b"]).filter(pa.array(sketch_allows(a, b)))
-
-    return sized.select("a", "b", "ka", "kb").mapInArrow(keep, "a long, b long")
+_GROUPS = pa.schema({"bucket": pa.int32(), "ids": pa.list_(pa.int64()), "sizes": pa.binary(), "members": pa.binary()})
 
 
 def _part(column, parts: int):
@@ -196,9 +194,40 @@ def _sets(blobs, wanted: np.ndarray, width: int):
                     yield int(sid[rows[i + k]]), sets[first[k] : first[k + 1]]
 
 
+def _similar(own: np.ndarray, other: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have that Jaccard similarity, in percent."""
+    at = np.searchsorted(other, own)
+    both = int(np.count_nonzero(other[np.minimum(at, len(other) - 1)] == own))
+    return 100 * both >= similarity * (len(own) + len(other) - both)
+
+
+class _Forest:
+    """Links of a task that join what it hasn't joined yet."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def _root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def joined(self, a: int, b: int) -> bool:
+        return self._root(a) == self._root(b)
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[self._root(a)] = self._root(b)
+        self.links.append((a, b))
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array([a for a, _ in self.links], pa.int64()), "b": pa.array([b for _, b in self.links], pa.int64())})
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, width: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity. texts: sealed (sid, text) by part of sid."""
-    pairs = X.cut(pairs)
+    """Pairs (a, b) whose full sets have the similarity: those of a spanning forest in each part. texts: sealed (sid, text)."""
+    pairs = X.cut(pairs.coalesce(parts))
     asked = pairs.select(_part("a", parts).alias("part"), "a", _part("b", parts).alias("to")).distinct()
 
     def send(key, blobs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -206,15 +235,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, width: int, similar
         for a, to in zip(asked["a"].to_pylist(), asked["to"].to_pylist(), strict=True):
             targets.setdefault(a, []).append(to)
         part, ids, sets = [], [], []
-        done = set()
         for sid, own in _sets(blobs["blob"], np.array(list(targets), np.int64), width):
-            if sid not in done:
-                done.add(sid)
-                raw = own.tobytes()
-                for to in targets[sid]:
-                    part.append(to)
-                    ids.append(sid)
-                    sets.append(raw)
+            raw = own.tobytes()
+            for to in targets[sid]:
+                part.append(to)
+                ids.append(sid)
+                sets.append(raw)
         return pa.table([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array([None] * len(ids), pa.int64()), pa.array(sets, pa.binary())], schema=_SENT)
 
     def compare(key, blobs: pa.Table, sent: pa.Table) -> pa.Table:
@@ -225,18 +251,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, width: int, similar
                 others.setdefault(b, []).append(a)
             else:
                 sets[a] = np.frombuffer(raw, np.uint64)
-        found, done = [], set()
+        found = _Forest()
         for sid, own in _sets(blobs["blob"], np.array(list(others), np.int64), width):
-            if sid in done:
-                continue
-            done.add(sid)
             for a in others[sid]:
-                other = sets[a]
-                at = np.searchsorted(other, own)
-                both = int(np.count_nonzero(other[np.minimum(at, len(other) - 1)] == own))
-                if 100 * both >= similarity * (len(own) + len(other) - both):
-                    found.append((a, sid))
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                if not found.joined(a, sid) and _similar(own, sets[a], similarity):
+                    found.join(a, sid)
+        return found.table()
 
     sets = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), "part int, a long, b long, own binary")
     mixed = sets.unionByName(pairs.select(_part("b", parts).alias("part"), "a", "b", F.lit(None).cast("binary").alias("own")))
@@ -261,45 +281,170 @@ def _text_parts(docs: DataFrame, width: int, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "part int, blob binary")
 
 
-def _unconnected(found: DataFrame, labels: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one group whose sets are in different components, where sizes and sketches allow the similarity."""
-    groups = found.where("members is not null").select("bucket", "members")
+def _candidate_texts(texts: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """The sealed texts of these sids only, each once."""
 
-    def ids(batches):
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("members"), strict=True):
-                sid = np.unique(X.unseal(blob.as_py())["sid"].to_numpy())
-                yield pa.record_batch({"bucket": pa.array([bucket] * len(sid), pa.int32()), "sid": pa.array(sid, pa.int64())})
+    def pick(key, blobs: pa.Table, ids: pa.Table) -> pa.Table:
+        wanted, out = np.sort(ids["sid"].to_numpy()), []
+        done = np.zeros(len(wanted), bool)
+        for blob in blobs["blob"] if len(wanted) else []:
+            table = X.unseal(blob.as_py())
+            sid = table["sid"].to_numpy()
+            at = np.minimum(np.searchsorted(wanted, sid), len(wanted) - 1)
+            keep = (wanted[at] == sid) & ~done[at]
+            done[at[keep]] = True
+            if keep.any():
+                out.append(X.seal(table.filter(pa.array(keep)).combine_chunks()))
+        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["part", "blob"])
 
-    named = groups.mapInArrow(ids, "bucket int, sid long").join(info.select("sid", "n", "sketch"), "sid")
-    named = named.join(labels, named.sid == labels.node, "left").select("bucket", "sid", "n", "sketch", F.coalesce("component", "sid").alias("component"))
+    return texts.groupBy("part").cogroup(ids.withColumn("part", _part("sid", parts)).groupBy("part")).applyInArrow(lambda k, t, i: pick(k, t, i), "part int, blob binary")
 
-    def pair(key, groups: pa.Table, named: pa.Table) -> pa.Table:
+
+class _Bucket:
+    """A bucket's groups, and what is known of their members."""
+
+    def __init__(self, groups: pa.Table, named: pa.Table):
         sid = named["sid"].to_numpy()
         order = np.argsort(sid)
-        sid, n, component = sid[order], named["n"].to_numpy()[order], named["component"].to_numpy()[order]
-        sketch = np.frombuffer(b"".join(named["sketch"].to_pylist()), np.uint8).reshape(len(sid), -1)[order]
+        self.sid, self.n = sid[order], named["n"].to_numpy()[order]
+        self.component, self.weight = named["component"].to_numpy()[order], named["weight"].to_numpy()[order]
+        self.sketch = np.frombuffer(b"".join(named["sketch"].to_pylist()), np.uint8).reshape(len(sid), -1)[order]
+        self.groups = groups
+
+    def mixed(self) -> Iterator[np.ndarray]:
+        """Members of each group with more than one component."""
+        for ids, sizes, members in zip(self.groups["ids"], self.groups["sizes"], self.groups["members"], strict=True):
+            own = np.searchsorted(self.sid, np.asarray(ids.values))
+            size = X.unseal(sizes.as_py())["n"].to_numpy().astype(np.int64)
+            at = own[X.unseal(members.as_py())["at"].to_numpy()]
+            begin = np.r_[0, np.cumsum(size)[:-1]]
+            component = self.component[at]
+            for g in np.flatnonzero(np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)):
+                yield at[begin[g] : begin[g] + size[g]]
+
+    def allows(self, x, y: np.ndarray, similarity: int) -> np.ndarray:
+        """Those of y that sizes and sketches allow to be similar to x, in another component."""
+        n = self.n[y]
+        y = y[(self.component[y] != self.component[x]) & (100 * np.minimum(n, self.n[x]) >= similarity * np.maximum(n, self.n[x]))]
+        return y[sketch_allows(self.sketch[y], self.sketch[x][None])] if len(y) else y
+
+
+def _consensus(sketch: np.ndarray) -> np.ndarray:
+    """The most frequent 2-bit values of the members, packed like a sketch."""
+    out = np.zeros(sketch.shape[1], np.uint8)
+    for shift in (0, 2, 4, 6):
+        two = (sketch >> shift) & 3
+        out |= (np.stack([(two == v).sum(0) for v in range(4)]).argmax(0).astype(np.uint8) << shift).astype(np.uint8)
+    return out
+
+
+def _anchored(found: DataFrame, named: DataFrame, similarity: int, random: bool) -> DataFrame:
+    """Distinct pairs (a, b) of members of mixed groups with the group's anchor nearest to their consensus, and with a random one."""
+
+    def pair(key, groups: pa.Table, named: pa.Table) -> pa.Table:
+        b = _Bucket(groups, named)
+        salt = T.mix(b.sid.view(np.uint64) + np.uint64(key[0].as_py()))
+        met: list[list[tuple]] = [[], []]
+        for rows in b.mixed():
+            anchors = [int(rows[_POP[b.sketch[rows] ^ _consensus(b.sketch[rows])].sum(1).argmax()] if len(rows) > 2 else rows[0])]
+            anchors += [int(rows[np.argmin(salt[rows])])] if random else []
+            for k, a in enumerate(anchors):
+                y = b.allows(a, rows, similarity)
+                if len(y):
+                    met[k].append((y, np.full(len(y), a), _POP[b.sketch[y] ^ b.sketch[a][None]].sum(1)))
         out = []
-        for blob in groups["members"]:
-            table = X.unseal(blob.as_py())
-            group, at = table["group"].to_numpy(), np.searchsorted(sid, table["sid"].to_numpy())
-            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            own = component[at]
-            mixed = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
-            end = np.r_[begin[1:], len(group)]
-            for i, j in zip(begin[mixed], end[mixed], strict=True):
-                rows = at[i:j]
-                for k in range(1, len(rows)):  # a member against those before it, in one step
-                    x, y = rows[k], rows[:k]
-                    y = y[component[y] != component[x]]
-                    y = y[100 * np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x])]
-                    y = y[sketch_allows(sketch[y], sketch[x][None])] if len(y) else y
-                    if len(y):
-                        out.append(np.stack([np.minimum(sid[y], sid[x]), np.maximum(sid[y], sid[x])], 1))
+        for found in met:  # of a member's anchors the nearest: a member has a pair of either kind at most
+            if found:
+                y, a, near = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((-near, y))
+                order = order[np.r_[True, y[order[1:]] != y[order[:-1]]]]
+                x, z = b.sid[y[order]], b.sid[a[order]]
+                out.append(np.stack([np.minimum(x, z), np.maximum(x, z)], 1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
 
-    return groups.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(lambda k, g, n: pair(k, g, n), "a long, b long").distinct()
+    return found.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(lambda k, g, n: pair(k, g, n), "a long, b long").distinct()
+
+
+def _known(sid, n, sketch, component) -> bytes:
+    return X.seal(pa.table({"sid": sid, "n": n, "component": component, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}))
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ASKED)], schema=_ASKED)
+
+
+def _remaining(found: DataFrame, named: DataFrame, texts: DataFrame, parts: int, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) between components (by their least sets) that have linked sets in one group: a spanning forest in each part."""
+
+    def ask(key, groups: pa.Table, named: pa.Table) -> pa.Table:
+        b, asked, others = _Bucket(groups, named), [], []
+        place = np.empty(len(b.sid), np.int64)
+        place[np.lexsort((b.component, b.weight))] = np.arange(len(b.sid))  # from the smallest component on
+        for rows in b.mixed():
+            rows = rows[np.argsort(b.n[rows], kind="stable")]
+            n = b.n[rows]
+            most = b.component[rows[place[rows].argmax()]]
+            for x in rows[b.component[rows] != most]:
+                low, high = np.searchsorted(n, [-(-b.n[x] * similarity // 100), b.n[x] * 100 // similarity + 1])
+                y = rows[low:high]
+                y = b.allows(x, y[place[y] > place[x]], similarity)
+                if len(y):
+                    to = np.unique(b.sid[y] % parts)
+                    asked.append(np.stack([np.full(len(to), x), to], 1))
+                    others.append(y)
+        asked = np.unique(np.concatenate(asked), axis=0) if asked else np.zeros((0, 2), np.int64)
+        others = np.unique(np.concatenate(others)) if others else np.zeros(0, np.int64)
+        rows = []
+        for part, which in X.grouped((b.sid[asked[:, 0]] % parts).astype(np.int32)):
+            x, to = asked[which].T
+            rows.append((int(part), X.seal(pa.table({"to": to.astype(np.int32)})), _known(b.sid[x], b.n[x], b.sketch[x], b.component[x]), None))
+        for part, which in X.grouped((b.sid[others] % parts).astype(np.int32)):
+            y = others[which]
+            rows.append((int(part), None, _known(b.sid[y], b.n[y], b.sketch[y], b.component[y]), None))
+        return _rows(rows)
+
+    def send(key, blobs: pa.Table, asked: pa.Table) -> pa.Table:
+        targets: dict[int, set[int]] = {}
+        known: dict[int, bytes] = {}
+        for to, blob in zip(asked["to"], asked["known"], strict=True):
+            table = X.unseal(blob.as_py())
+            for k, (sid, part) in enumerate(zip(table["sid"].to_pylist(), X.unseal(to.as_py())["to"].to_pylist(), strict=True)):
+                targets.setdefault(sid, set()).add(part)
+                if sid not in known:
+                    known[sid] = X.seal(table.slice(k, 1).combine_chunks())
+        sets = _sets(blobs["blob"], np.array(list(targets), np.int64), width)
+        return _rows([(to, None, known[sid], own.tobytes()) for sid, own in sets for to in targets[sid]])
+
+    def compare(key, blobs: pa.Table, sent: pa.Table) -> pa.Table:
+        local = [X.unseal(k.as_py()) for k, own in zip(sent["known"], sent["own"], strict=True) if not own.is_valid]
+        found = _Forest()
+        if local:
+            local = pa.concat_tables(local)
+            sid, first = np.unique(local["sid"].to_numpy(), return_index=True)
+            local = local.take(pa.array(first))
+            n, component = local["n"].to_numpy(), local["component"].to_numpy()
+            sketch = np.frombuffer(b"".join(local["sketch"].to_pylist()), np.uint8).reshape(len(sid), -1)
+            sets = dict(_sets(blobs["blob"], sid, width))
+        for known, own in zip(sent["known"], sent["own"], strict=True):
+            if not own.is_valid or not local:
+                continue
+            x, own = X.unseal(known.as_py()).to_pylist()[0], np.frombuffer(own.as_py(), np.uint64)
+            y = np.flatnonzero((component != x["component"]) & (100 * np.minimum(n, x["n"]) >= similarity * np.maximum(n, x["n"])))
+            y = y[sketch_allows(sketch[y], np.frombuffer(x["sketch"], np.uint8)[None])]
+            for k in y.tolist():
+                if not found.joined(x["component"], int(component[k])) and _similar(own, sets[int(sid[k])], similarity):
+                    found.join(x["component"], int(component[k]))
+        return found.table()
+
+    schema = "part int, to binary, known binary, own binary"
+    asked = X.cut(found.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(lambda k, g, n: ask(k, g, n), schema).coalesce(parts))
+    sets = texts.groupBy("part").cogroup(asked.where("to is not null").groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), schema)
+    mixed = sets.unionByName(asked.where("to is null"))
+    return texts.groupBy("part").cogroup(mixed.groupBy("part")).applyInArrow(lambda k, t, m: compare(k, t, m), "a long, b long")
+
+
+_ASKED = pa.schema({"part": pa.int32(), "to": pa.binary(), "known": pa.binary(), "own": pa.binary()})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
@@ -311,20 +456,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
     its only element. Rows that share a doc_id are judged each by its own text. A null doc_id is never a component_id unless
     its whole group has none, and is then kept. An empty table gives no rows.
     """
+    parts = X.parts_for(docs)
     scanned = X.cut(_scan(docs, width))
     some = scanned.where("sid is not null")
-    info = X.cut(some.dropDuplicates(["sid"]).select("sid", "n", "small", "sketch"))
-    buckets = max(1, -(-info.count() * SUB * SUB // BUCKET_KEYS))
-    found = X.cut(_buckets(info.select("sid", "small"), buckets))
-    parts = X.parts_for(docs)
-    texts = _text_parts(docs, width, parts)
-    links = X.cut(_confirm(_allowed(found.where("members is null").select("a", "b"), info, similarity), texts, parts, width, similarity))
-    labels = X.cut(components(links))
-    rest = X.cut(_unconnected(found, labels, info, similarity))
-    if not rest.isEmpty():
-        more = X.cut(_confirm(rest, texts, parts, width, similarity))
-        if not more.isEmpty():
-            labels = X.cut(components(reduce(DataFrame.unionByName, [links, more])))
+    info = X.cut(some.dropDuplicates(["sid"]).select("sid", "n", "small", "sketch").coalesce(parts))
+    spread = max(1, -(-info.count() * SUB // BUCKET_KEYS))
+    found = X.cut(_buckets(info.select("sid", "small"), spread).coalesce(SUB * spread))
+    spots = found.select("bucket", F.explode("ids").alias("sid")).join(info.select("sid", "n", "sketch"), "sid")
+    spots = X.cut(spots.select(F.col("bucket").alias("bucket"), "sid", "n", "sketch").coalesce(SUB * spread))
+    texts = X.cut(_candidate_texts(_text_parts(docs, width, parts), spots.select("sid").distinct(), parts).coalesce(parts))
+    links, labels = None, None
+    for step in range(3):
+        if labels is None:
+            named = spots.select("*", F.col("sid").alias("component"), F.lit(1).cast("long").alias("weight"))
+        else:
+            sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
+            named = spots.join(sized, spots.sid == sized.node, "left").select("bucket", "sid", "n", "sketch", F.coalesce("component", "sid").alias("component"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
+        more = _confirm(_anchored(found, named, similarity, step > 0), texts, parts, width, similarity) if step < 2 else _remaining(found, named, texts, parts, width, similarity)
+        more = X.cut(more.coalesce(parts))
+        if labels is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            labels = X.cut(components(links))
     least = some.groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, least.sid == labels.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     final = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sid", "component_id")
