@@ -104,7 +104,7 @@ def _blocks(docs: DataFrame, least: int):
     """The scan: for each distinct line of a block its hashes and first position, and its coarse keys."""
 
     def emit(batches):
-        for block in T.blocks(batches, "text", 4 << 20):
+        for block in T.blocks(batches, "text", 1 << 20):
             lines = Lines(block.column("text"), least)
             if not len(lines.begin):
                 continue
@@ -248,11 +248,12 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None) -
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     parts = parts or X.parts_for(docs)
     scan = X.cut(_blocks(own, least))
-    by_hash = scan.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "line")).alias("at"))
     spread = F.pmod(F.xxhash64("at.doc_id"), F.lit(parts)).cast("int")
-    lines = by_hash.select(spread.alias("part"), "at.*", "h1")
+    by_hash = scan.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "line")).alias("at"))
+    lines = X.cut(by_hash.select(spread.alias("part"), "at.*", "h1"))
+    candidates = X.cut(_candidates(scan, max(1, parts // 4)))
+    del scan, by_hash
     texts = _row_parts(own, parts)
-    candidates = _candidates(scan, max(1, parts // 4))
     gone = X.cut(_near_removed(texts, lines, candidates, least))
     kept = lines.join(gone, "h1", "left_anti").select("part", "doc_id", "tag", "line")
     result = _arrow(docs.schema)
