@@ -28,8 +28,10 @@ CLASSES = 48
 END, AGAIN, SKIPPED = 0, 1, 2
 ENDING = 3
 #: Rows of the hashed trigram features.
-HASHED = 1 << 14
-SHARDS, ROUNDS, RATE, RIDGE = 8, 16, 0.25, 1.0
+HASHED = 1 << 13
+SHARDS, ROUNDS, STEP, PRIOR = 2, 12, 1.0, 50.0
+#: Bytes of text in a part of the exchange of counts.
+PART_BYTES = 4 << 20
 _END_HASH = np.uint64(0x9D2C5680CA3F1B07)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -124,7 +126,7 @@ def class_counts(docs: DataFrame) -> DataFrame:
         cells = np.flatnonzero(total)
         return pa.Table.from_batches(_cells(cells, total[cells]), _CELLS)
 
-    return docs.select("text").mapInArrow(emit, "shard int, blob binary").groupBy("shard").applyInArrow(lambda k, t: settle(k, t), "shard int, blob binary")
+    return docs.select("text").mapInArrow(emit, "shard int, blob binary").groupBy("shard").applyInArrow(lambda k, t: settle(k, t), "shard int, blob binary").coalesce(SHARDS)
 
 
 _CELLS = pa.schema({"shard": pa.int32(), "blob": pa.binary()})
@@ -167,13 +169,13 @@ def _short_counts(shards: DataFrame) -> np.ndarray:
                 yield pa.record_batch({"n": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
 
     total = np.zeros(CLASSES**3, np.int64)
-    for row in shards.mapInArrow(emit, "n binary").toLocalIterator():
+    for row in shards.mapInArrow(emit, "n binary").collect():
         total += np.frombuffer(bytes(row.n), np.int64)
     return total
 
 
 def train(shards: DataFrame, rounds: int = ROUNDS) -> Weights:
-    """Fits class weights to counts by distributed gradient updates with adaptive steps.
+    """Fits class weights to counts by distributed gradient updates, scaled as in iterative scaling.
 
     The shards hold at most CLASSES^4 counts, however large the corpus; the driver sees sums of them only.
     """
@@ -181,45 +183,50 @@ def train(shards: DataFrame, rounds: int = ROUNDS) -> Weights:
     weights = _start(counts)
     if not counts.any():
         return weights
-    held = [np.full_like(w, 1e-8) for w in weights.rows]
     spark = shards.sparkSession
+    seen = _sums(shards, None)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights.rows])
-
-        def gradient(batches, shared=shared):
-            rows = Weights(shared.value)
-            grads = [np.zeros((n, CLASSES), np.float32) for n in Weights.sizes()]
-            for batch in batches:
-                for blob in batch.column("blob"):
-                    own = X.unseal(blob.as_py())
-                    cell, n = own["cell"].to_numpy(), own["n"].to_numpy()
-                    contexts, at = np.unique(cell // CLASSES, return_inverse=True)
-                    for i in range(0, len(contexts), 1 << 13):
-                        part = contexts[i : i + (1 << 13)]
-                        inside = (at >= i) & (at < i + len(part))
-                        seen = np.zeros((len(part), CLASSES))
-                        seen[at[inside] - i, cell[inside] % CLASSES] = n[inside]
-                        error = (seen - seen.sum(1, keepdims=True) * np.exp(rows.log_probabilities(part))).astype(np.float32)
-                        for g, f in zip(grads, Weights.features(part), strict=True):
-                            order = np.argsort(f, kind="stable")
-                            begin = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
-                            g[f[order][begin]] += np.add.reduceat(error[order], begin, axis=0)
-            for k, g in enumerate(grads):
-                if g.any():
-                    yield pa.record_batch({"k": pa.array([k], pa.int32()), "g": pa.array([g.tobytes()], pa.binary())})
-
-        def add(key, table: pa.Table) -> pa.Table:
-            g = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["g"])
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], names=["k", "g"])
-
-        for row in shards.mapInArrow(gradient, "k int, g binary").groupBy("k").applyInArrow(lambda k, t: add(k, t), "k int, g binary").toLocalIterator():
-            g = np.frombuffer(bytes(row.g), np.float32).reshape(weights.rows[row.k].shape) - RIDGE * weights.rows[row.k]
-            held[row.k] += g**2
-            weights.rows[row.k] += RATE * g / np.sqrt(held[row.k])
+        expected = _sums(shards, shared)
+        # the gradient's two halves as a ratio: a step that never overshoots if all features agree, for STEP up to 1
+        for w, o, e in zip(weights.rows, seen, expected, strict=True):
+            w += STEP / len(seen) * np.log((o + PRIOR) / (e + PRIOR))
         shared.destroy()
     return weights
 
 
+def _sums(shards: DataFrame, shared) -> list[np.ndarray]:
+    """By feature, how often each class follows its values: as counted, or with weights as the model expects it."""
+
+    def emit(batches):
+        rows = Weights(shared.value) if shared else None
+        sums = [np.zeros((n, CLASSES), np.float32) for n in Weights.sizes()]
+        for batch in batches:
+            for blob in batch.column("blob"):
+                own = X.unseal(blob.as_py())
+                cell, n = own["cell"].to_numpy(), own["n"].to_numpy()
+                contexts, at = np.unique(cell // CLASSES, return_inverse=True)
+                for i in range(0, len(contexts), 1 << 13):
+                    part = contexts[i : i + (1 << 13)]
+                    inside = (at >= i) & (at < i + len(part))
+                    counts = np.zeros((len(part), CLASSES))
+                    counts[at[inside] - i, cell[inside] % CLASSES] = n[inside]
+                    if rows:
+                        counts = counts.sum(1, keepdims=True) * np.exp(rows.log_probabilities(part))
+                    for g, f in zip(sums, Weights.features(part), strict=True):
+                        order = np.argsort(f, kind="stable")
+                        begin = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
+                        g[f[order][begin]] += np.add.reduceat(counts[order], begin, axis=0)
+        for k, g in enumerate(sums):
+            yield pa.record_batch({"k": pa.array([k], pa.int32()), "g": pa.array([g.tobytes()], pa.binary())})
+
+    # SHARDS rows for each feature, of a size that doesn't depend on the corpus
+    total = [np.zeros((n, CLASSES)) for n in Weights.sizes()]
+    for row in shards.mapInArrow(emit, "k int, g binary").collect():
+        total[row.k] += np.frombuffer(bytes(row.g), np.float32).reshape(total[row.k].shape)
+    return total
+
+
 # Vocabulary counts
 
 
@@ -304,7 +311,7 @@ def score(docs: DataFrame, learn=None, parts: int | None = None) -> DataFrame:
     learn = training_rows() if learn is None else learn
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("learn"))
     weights = train(X.cut(class_counts(docs.where("learn"))))
-    parts = parts or X.parts_for(docs)
+    parts = parts or X.parts_for(docs, part_bytes=PART_BYTES)
     texts = _parts(docs, parts)
     totals = X.cut(_totals(texts, parts))
     by = totals.where("part is null").select(F.posexplode(F.arrays_zip("tokens", "types"))).groupBy("pos").agg(F.sum("col.tokens").alias("n"), F.sum("col.types").alias("v")).collect()
