@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = toxicity.training_rows()
     labels = queries.table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.labelled_sample(docs.where(learn), labels.where(learn)))
+    model = toxicity.train(docs.where(learn), labels.where(learn))
     return toxicity.annotate(docs, model, spans=False).where("toxic_score < 0.5").select(*docs.columns)
 
 

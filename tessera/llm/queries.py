@@ -35,7 +35,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = toxicity.training_rows()
-    model = toxicity.fit(toxicity.labelled_sample(docs.where(learn), table(spark, sf_dir, "labels").where(learn)))
+    model = toxicity.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
     scored = toxicity.annotate(docs, model)
     return scored.select("doc_id", (~learn).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 

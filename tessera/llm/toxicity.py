@@ -7,11 +7,12 @@ hashed features and for transitions, and is fitted to segments of those document
 forward-backward marginals give each word's probability; sums and maxima of them, by a logistic
 model fitted to the labels, give the document's score, and runs of likely words its spans.
 
-The fit uses a bounded sample of labelled rows, on the driver; scoring is one pass without a shuffle.
+The fit uses a bounded sample of labelled rows, in one task; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 #: Labelled rows to fit on at most: those with the least hashes of their doc_id.
-SAMPLE = 5_000
+SAMPLE = 4_000
 BITS = 18
 #: Lengths in bytes of the beginnings of a word that are features, and of its ending.
 PREFIXES, SUFFIX = (4, 5, 6, 7, 8), 4
@@ -132,7 +133,8 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 1) -> Model:
     if not len(starts):
         return none
     features, word = _distinct(low, starts, ends, hashes)
-    doc = np.repeat(np.arange(len(rows)), np.diff(first))
+    word, doc = word.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(first))
+    del low, starts, ends, hashes
     # words by document once, then features by document once, some documents at a time
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for low_doc in range(0, len(rows), 250):
@@ -244,16 +246,31 @@ def score_batch(model: Model, column) -> tuple[np.ndarray, tuple]:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30))), (p, low, at, starts, ends, first)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """At most `most` labelled texts, those with the least hashes of doc_id; rows without a label don't count."""
+def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` ids and labels: small enough for every task
     rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toArrow()
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> list[tuple[str | None, int]]:
+    """At most `most` labelled texts, those with the least hashes of doc_id; rows without a label don't count."""
+    got = _sample(docs, labels, label, most).toArrow()
     return list(zip(got["text"].to_pylist(), got["label"].to_pylist(), strict=True))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
+    """A model of `labelled_sample`, fitted by one task on an executor; the driver gets the model alone."""
+
+    def run(batches):
+        rows = [x for b in batches for x in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True)]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    row = _sample(docs, labels, label, most).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(row[0])) if row else fit([])
+
+
 def annotate(docs: DataFrame, model: Model, spans: bool = True, least: float = 0.5) -> DataFrame:
     """The documents, with all columns, and toxic_score (0 to 1) and toxic_spans (code point offsets of likely toxic runs).
 

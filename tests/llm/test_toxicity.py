@@ -56,7 +56,9 @@ def test_marginals_equal_enumeration():
 
 def test_spans_and_odd_rows(spark):
     d, labels = corpus(spark)
-    model = X.fit(X.labelled_sample(d, labels))
+    model = X.train(d, labels)
+    same = X.fit(X.labelled_sample(d, labels))
+    assert np.array_equal(model.weights, same.weights) and np.array_equal(model.document, same.document)
     text = "Élan ñ and the thing. You IDIOT, stupid moron! of the rest"
     data = [(1, text), *rows(6)]
     out = X.annotate(docs(spark, data), model).collect()
@@ -76,3 +78,4 @@ def test_degenerate_labels(spark):
     d = docs(spark, [(1, "x"), (2, None)])
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert X.labelled_sample(d, none) == []
+    assert not X.train(d, none).weights.any()
