@@ -71,7 +71,9 @@ def test_one_of_each_group_stays(spark):
     assert M.near_duplicates(docs(spark, [])).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("tessera.llm.components.TASK_EDGES", most)
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, k) for k in range(201, 240)]
     root = {x: x for e in edges for x in e}
@@ -83,6 +85,6 @@ def test_components(spark):
 
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(30)).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
