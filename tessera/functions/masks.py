@@ -83,12 +83,21 @@ def _mapped(name: str, columns: list[str]) -> Column:
     return call(F.struct(*(F.col(f"`{c}`") for c in columns)))
 
 
+def _with_digests(rows: DataFrame, table: C.Table, columns: list[C.Column]) -> DataFrame:
+    """Adds digests and pool indexes of the seeds, each computed once for a row however many values are made of it."""
+    seeds = {C.seed_column(table.name, c.replace_with_fake_data.seed) for c in columns if c.replace_with_fake_data}
+    sizes = {(C.seed_column(table.name, f.seed), pools.pool_size(f.type)) for c in columns if (f := c.replace_with_fake_data)}
+    rows = rows.withColumns({f"__digest_{s}": pools.digest(F.col(f"`{s}`")) for s in sorted(seeds)}) if seeds else rows
+    return rows.withColumns({f"__index_{s}_{n}": pools.index_of(F.col(f"`__digest_{s}`"), n) for s, n in sorted(sizes)}) if sizes else rows
+
+
 def _second(table: C.Table, column: C.Column, kind: P.DataType, columns: list[str]) -> Column:
     c = F.col(f"`{column.name}`")
     if column.map is not None:
         return _mapped(column.map, columns).cast(kind)
     if (fake := column.replace_with_fake_data) is not None:
-        made = pools.value(fake.type, F.col(f"`{C.seed_column(table.name, fake.seed)}`"), fake.locale)
+        seed = C.seed_column(table.name, fake.seed)
+        made = pools.value_at(fake.type, F.col(f"`__digest_{seed}`"), F.col(f"`__index_{seed}_{pools.pool_size(fake.type)}`"), fake.locale)
         return F.when(c.isNotNull(), made.cast(kind))
     if column.replace_with_random is not None:
         return F.when(c.isNotNull(), random_hex(F.lit(int(column.replace_with_random.split(":")[1]))))
@@ -105,7 +114,7 @@ def apply_masks(rows: DataFrame, table: C.Table, dialect: str = "null", only: li
     first = rows.alias(table.name).select(*(_first(c, kinds[c.name], dialect).alias(c.name) for c in table.columns))
     if not any(c.map or c.replace_with_fake_data or c.replace_with_random for c in columns):
         return first if only is None else first.select(*(F.col(f"`{c.name}`") for c in columns))
-    return first.select(*(_second(table, c, kinds[c.name], known).alias(c.name) for c in columns))
+    return _with_digests(first, table, columns).select(*(_second(table, c, kinds[c.name], known).alias(c.name) for c in columns))
 
 
 # Documents

@@ -46,8 +46,13 @@ def digest(seed: Column) -> Column:
 
 def index(seed: Column, size: int) -> Column:
     """The first eight bytes of the digest, as a big-endian number, modulo the pool's size."""
-    number = F.conv(F.substring(digest(seed), 1, 16), 16, 10).cast("decimal(20,0)")
-    return F.pmod(number, F.lit(size).cast("decimal(20,0)")).cast("int")
+    return index_of(digest(seed), size)
+
+
+def index_of(hexed: Column, size: int) -> Column:
+    """`index` of a digest. Two halves of 32 bits keep the sum within a long."""
+    half = lambda at: F.conv(F.substring(hexed, at, 8), 16, 10).cast("long")
+    return ((half(1) % size * ((1 << 32) % size) + half(9)) % size).cast("int")
 
 
 def token(seed: Column) -> Column:
@@ -55,17 +60,27 @@ def token(seed: Column) -> Column:
     return F.substring(digest(seed), 17, 16)
 
 
+def pool_size(kind: str) -> int:
+    return PERSONS if kind in PERSON_TYPES or kind in ("email", "username") else OTHERS
+
+
 def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), at.cast("int") + 1)
 
 
 def value(kind: str, seed: Column, locale: str = "en") -> Column:
     """The fake value of a type for a seed. For one seed the name types describe one person."""
+    hexed = digest(seed)
+    return value_at(kind, hexed, index_of(hexed, pool_size(kind)), locale)
+
+
+def value_at(kind: str, hexed: Column, at: Column, locale: str = "en") -> Column:
+    """The fake value of a type for a seed's digest and its index in the type's pool."""
     if kind not in TYPES or locale not in LOCALES or kind in KANA_TYPES and locale != "ja":
         raise ValueError(f"no fake data of type {kind!r} for locale {locale!r}")
     own, english = lists(locale), lists("en")
     if kind in PERSON_TYPES or kind in ("email", "username"):
-        person = index(seed, PERSONS)
+        person = at
         # spread over both lists: every person is another pair
         first, last = person % NAMES, (F.floor(person / NAMES) + person) % NAMES
         kana = "_kana" if kind.endswith("_kana") else ""
@@ -77,8 +92,7 @@ def value(kind: str, seed: Column, locale: str = "en") -> Column:
             names = _pick(own["first" + kana], first), _pick(own["last" + kana], last)
             return F.concat_ws(" ", *(reversed(names) if locale == "ja" else names))
         base = F.lower(F.concat(_pick(english["first"], first), F.lit("."), _pick(english["last"], last)))
-        return F.concat(base, F.lit("."), token(seed), F.lit("@example.com")) if kind == "email" else F.concat(base, F.lit("_"), token(seed))
-    at = index(seed, OTHERS)
+        return F.concat(base, F.lit("."), F.substring(hexed, 17, 16), F.lit("@example.com")) if kind == "email" else F.concat(base, F.lit("_"), F.substring(hexed, 17, 16))
     if kind == "phone_number":
         return F.format_string("(555) %03d-%04d", (at % 900 + 100).cast("int"), (at * 7919 % 10000).cast("int"))
     if kind == "address":
