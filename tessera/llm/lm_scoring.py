@@ -116,26 +116,18 @@ def class_counts(docs: DataFrame) -> DataFrame:
             cells, n = np.unique(context.astype(np.int64) * CLASSES + kind, return_counts=True)
             total[cells] += n
         cells = np.flatnonzero(total)
-        yield from _cells(cells, total[cells])
-
-    def settle(key, table: pa.Table) -> pa.Table:
-        total = np.zeros(CLASSES**4, np.int64)
-        for blob in table["blob"]:
-            own = X.unseal(blob.as_py())
-            total[own["cell"].to_numpy()] += own["n"].to_numpy()
-        cells = np.flatnonzero(total)
-        return pa.Table.from_batches(_cells(cells, total[cells]), _CELLS)
-
-    return docs.select("text").mapInArrow(emit, "shard int, blob binary").groupBy("shard").applyInArrow(lambda k, t: settle(k, t), "shard int, blob binary").coalesce(SHARDS)
-
-
-_CELLS = pa.schema({"shard": pa.int32(), "blob": pa.binary()})
-
-
-def _cells(cells: np.ndarray, n: np.ndarray):
-    for shard, which in X.grouped((cells // CLASSES % SHARDS).astype(np.int32)):
-        blob = X.seal(pa.table({"cell": cells[which].astype(np.int32), "n": n[which]}))
-        yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        for i in range(0, len(cells), 1 << 16):
+            part = cells[i : i + (1 << 16)]
+            yield pa.record_batch({"cell": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
+
+    def seal(key, table: pa.Table) -> pa.Table:
+        blob = X.seal(table.select(["cell", "n"]).sort_by("cell").combine_chunks())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+
+    # rows are summed by cell over all tasks; only what is left, of a size that doesn't depend on the corpus, goes to shards
+    counts = docs.select("text").mapInArrow(emit, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    shard = F.floor(F.col("cell") / CLASSES).cast("int") % SHARDS
+    return counts.groupBy(shard.alias("shard")).applyInArrow(lambda k, t: seal(k, t), "shard int, blob binary").coalesce(SHARDS)
 
 
 def _start(counts: np.ndarray) -> Weights:
