@@ -209,21 +209,23 @@ def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, lea
             rows = np.array([r for r in np.flatnonzero(high > low) if not (own[r] in done or done.add(own[r]))], np.int64)
             if not len(rows):
                 continue
-            texts_ = table["text"].take(pa.array(rows))
-            sizes = np.r_[0, np.cumsum([len(x) for x in texts_.to_pylist()])]
-            for i, j in T.slices(sizes, 1 << 20):
-                lines = Lines(texts_.slice(i, j - i), least)
-                code = np.zeros(len(lines.begin), np.int64)
-                for d in range(j - i):
-                    r = rows[i + d]
-                    a, b = np.searchsorted(lines.doc, [d, d + 1])
-                    at = a + np.searchsorted(lines.number[a:b], line_no[low[r] : high[r]])
-                    code[at] = codes[low[r] : high[r]]
-                which = np.flatnonzero(code)
+            # the candidate lines alone, each as a text
+            pieces, owner, number, code = [], [], [], []
+            for r, text in zip(rows.tolist(), table["text"].take(pa.array(rows)).to_pylist(), strict=True):
+                split = text.split("\n")
+                for k, c in zip(line_no[low[r] : high[r]].tolist(), codes[low[r] : high[r]].tolist(), strict=True):
+                    pieces.append(split[k])
+                    owner.append(r)
+                    number.append(k)
+                    code.append(c)
+            owner, number, code = np.array(owner), np.array(number, np.int32), np.array(code, np.int64)
+            for i, j in T.slices(np.r_[0, np.cumsum([len(x) for x in pieces])], 1 << 20):
+                lines = Lines(pa.array(pieces[i:j], pa.string()), least)
                 h1 = lines.hashes(0)
-                for line, k1, k2, role in _variants(lines, which, code[which]):
-                    r = rows[i + lines.doc[line]]
-                    found.append(pa.record_batch([pa.array(x, f.type) for x, f in zip((k1, k2, role, h1[line], ids[r], tags[r], lines.number[line]), _VARIANTS, strict=True)], schema=_VARIANTS))
+                for line, k1, k2, role in _variants(lines, np.arange(len(lines.begin)), code[i + lines.doc]):
+                    at = i + lines.doc[line]
+                    r = owner[at]
+                    found.append(pa.record_batch([pa.array(x, f.type) for x, f in zip((k1, k2, role, h1[line], ids[r], tags[r], number[at]), _VARIANTS, strict=True)], schema=_VARIANTS))
         return pa.Table.from_batches(found, _VARIANTS)
 
     made = X.cut(texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(lambda k, t, w: emit(k, t, w), _VARIANT))
