@@ -4,7 +4,7 @@
 2. line dedup: lines that occurred earlier go; documents that lose all their lines go with them.
 3. near-dedup: one document of each group stays (five-word shingles, Jaccard similarity of 0.8 or more).
 4. decontamination: documents that hold ten consecutive words of a `benchmark` item go.
-5. packing: what is left is tokenized and packed into sequences of at most 1024 tokens.
+5. packing: what is left is tokenized and packed into sequences of at most 1024 tokens; the rows hold their ids.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.tokenizer(), window=1024)
+    return packing.sequences(docs, queries.tokenizer(), window=1024)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window int, step_group long"
-_RESULT = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in RESULT.split(", ")])
+RESULT = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long, window int, step_group long"
+DIGESTS = RESULT.replace("ids array<int>", "ids_crc32 long")
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+_RESULT, _DIGESTS = (pa.schema([(c, _KINDS[k]) for c, k in map(str.split, x.split(", "))]) for x in (RESULT, DIGESTS))
 #: Tokens of a step group.
 STEP_TOKENS = 8192
 
@@ -127,8 +129,10 @@ def plan(lengths: list[int], window: int) -> list[tuple[int, list[tuple[int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
-    """Packs all documents; one row for each piece of a document in a sequence.
+def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+    """Packs all documents; one row for each piece of a document in a sequence, with its token ids.
+
+    A sequence is the ids of its pieces in the order of their offsets: `window` ids in all.
 
     docs: doc_id, text; other columns don't matter. tokenizer: path of a byte-level BPE in tokenizers JSON, readable on the
     executors. A null or empty text is the `end` id alone. Rows that share a doc_id are packed each by itself; a null doc_id
@@ -149,10 +153,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, bloc
                 tokens = used[size] = used.get(size, 0) + size
                 step = (tokens - 1) // STEP_TOKENS
                 for doc, start, n in pieces:
-                    crc = zlib.crc32(ids[doc][start : start + n].astype("<u4").tobytes())
-                    rows.append((doc_ids[doc], start, n, crc, len(ids[doc]), sequence, offset, size, (sequence >> 36 << 36) + (step << 11) + size))
+                    rows.append((doc_ids[doc], start, n, ids[doc][start : start + n].astype(np.int32), len(ids[doc]), sequence, offset, size, (sequence >> 36 << 36) + (step << 11) + size))
                     offset += n
                 sequence += 1
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, RESULT)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The pieces of `sequences` with ids_crc32, of the ids as little-endian 32-bit numbers, in place of the ids."""
+
+    def emit(batches):
+        for batch in batches:
+            ids = batch.column("ids")
+            values, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            crc = pa.array([zlib.crc32(values[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64())
+            yield pa.record_batch([crc if c == "ids_crc32" else batch.column(c) for c in _DIGESTS.names], schema=_DIGESTS)
+
+    return packed.mapInArrow(emit, DIGESTS)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+    """The digests of `sequences`."""
+    return digests(sequences(docs, tokenizer, window, end, block_bytes))

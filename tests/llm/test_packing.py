@@ -2,13 +2,14 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import encode, pack, plan
+from tessera.llm.packing import encode, pack, plan, sequences
 
 from .common import docs, rows
 
@@ -76,3 +77,17 @@ def test_few_pieces():
     least = sum(-(-n // 1024) for n in lengths)
     assert sum(len(p) for _, p in made) < 1.5 * least
     assert sum(n for n, _ in made if n == 1024) > 0.5 * sum(lengths)
+
+
+def test_documents_can_be_read_from_the_ids(spark):
+    data = [(i, t) for i, (_, t) in enumerate(rows(5))]
+    out = sequences(docs(spark, data).repartition(3), PATH, block_bytes=40_000).collect()
+    pieces = defaultdict(list)
+    for r in out:
+        assert len(r.ids) == r.length
+        pieces[r.doc_id].append((r.start, r.ids))
+    t = reference()
+    for i, text in data:
+        ids = [x for _, own in sorted(pieces[i]) for x in own]
+        assert ids[-1] == 0 and t.decode(ids[:-1]) == (text or "")
+    assert "ids" in corpus_pipeline.pack(spark, docs(spark, data), "").columns
