@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -47,9 +48,31 @@ def encoder(path: str):
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(path: str, text: str | None, end: int) -> np.ndarray:
-    """The ids of a text as uint32, then `end`. A null text has only `end`."""
-    ids = encoder(path).encode_ordinary(text) if text else []
+@functools.lru_cache(2)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """What finds the added tokens of a tokenizers JSON file in a text, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if odd := [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]:
+        raise ValueError(f"added tokens that match more or less than their content aren't supported: {odd}")
+    ids = {t["content"]: t["id"] for t in added}
+    longest_first = "|".join(map(re.escape, sorted(ids, key=len, reverse=True)))
+    return (re.compile(f"({longest_first})") if ids else None), ids
+
+
+def encode(path: str, text: str | None, end: int, added: bool = False) -> np.ndarray:
+    """The ids of a text as uint32, then `end`. A null text has only `end`.
+
+    With `added`, the content of an added token is that token's id, as by a `Tokenizer` as it is loaded; without, it is text
+    like any other (`encode_special_tokens`).
+    """
+    pattern, of_added = added_tokens(path) if added else (None, {})
+    ids = []
+    for piece in pattern.split(text or "") if pattern else [text or ""]:
+        if piece in of_added:
+            ids.append(of_added[piece])
+        elif piece:
+            ids += encoder(path).encode_ordinary(piece)
     ids.append(end)
     return np.array(ids, np.uint32)
 
@@ -135,7 +158,7 @@ def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0,
     A sequence is the ids of its pieces in the order of their offsets: `window` ids in all.
 
     docs: doc_id, text; other columns don't matter. tokenizer: path of a byte-level BPE in tokenizers JSON, readable on the
-    executors. A null or empty text is the `end` id alone. Rows that share a doc_id are packed each by itself; a null doc_id
+    executors; ids are those of its `Tokenizer`, added tokens in a text included. A null or empty text is the `end` id alone. Rows that share a doc_id are packed each by itself; a null doc_id
     stays null. An empty table gives no rows. A text of any length is cut over as many windows as it needs. Sequence ids are
     distinct, not consecutive: the task's partition in the upper bits.
     """
@@ -146,7 +169,7 @@ def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0,
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for block in T.blocks(batches, "text", block_bytes):
             doc_ids = block.column("doc_id").to_pylist()
-            ids = [encode(tokenizer, t, end) for t in block.column("text").to_pylist()]
+            ids = [encode(tokenizer, t, end, added=True) for t in block.column("text").to_pylist()]
             rows, used = [], {}
             for size, pieces in plan([len(x) for x in ids], window):
                 offset = 0

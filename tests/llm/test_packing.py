@@ -91,3 +91,12 @@ def test_documents_can_be_read_from_the_ids(spark):
         ids = [x for _, own in sorted(pieces[i]) for x in own]
         assert ids[-1] == 0 and t.decode(ids[:-1]) == (text or "")
     assert "ids" in corpus_pipeline.pack(spark, docs(spark, data), "").columns
+
+
+def test_added_tokens_are_those_of_tokenizers(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext| >", "日本<|endoftext|>語 <|endoftext|>  "]
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert 50256 in want[0] and [encode(PATH, x, 0, added=True).tolist() for x in texts] == want
+    out = sequences(docs(spark, list(enumerate(texts))), PATH).orderBy("doc_id", "start").collect()
+    assert [[x for r in out if r.doc_id == i for x in r.ids] for i in range(len(texts))] == want
