@@ -7,7 +7,8 @@ largest that fit first, and the last gap is closed with a piece cut from a short
 cannot be filled at the end of a block is cut into sequences of powers of two, so nothing is
 padded. Sequences of one length are dealt to step groups of equal numbers of tokens.
 
-A block of a task's documents is packed by itself: no shuffle, and memory for one block.
+A block of a task's documents is packed by itself: no shuffle, and memory for one block. Step
+groups go on from block to block.
 """
 
 from __future__ import annotations
@@ -166,11 +167,11 @@ def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0,
         raise ValueError(f"window must be a power of two, not {window}")
 
     def emit(batches):
-        sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        sequence, used = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, {}
         for block in T.blocks(batches, "text", block_bytes):
             doc_ids = block.column("doc_id").to_pylist()
             ids = [encode(tokenizer, t, end, added=True) for t in block.column("text").to_pylist()]
-            rows, used = [], {}
+            rows = []
             for size, pieces in plan([len(x) for x in ids], window):
                 offset = 0
                 tokens = used[size] = used.get(size, 0) + size

@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import encode, pack, plan, sequences
+from tessera.llm.packing import STEP_TOKENS, encode, pack, plan, sequences
 
-from .common import docs, rows
+from .common import docs, rows, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -100,3 +100,16 @@ def test_added_tokens_are_those_of_tokenizers(spark):
     assert 50256 in want[0] and [encode(PATH, x, 0, added=True).tolist() for x in texts] == want
     out = sequences(docs(spark, list(enumerate(texts))), PATH).orderBy("doc_id", "start").collect()
     assert [[x for r in out if r.doc_id == i for x in r.ids] for i in range(len(texts))] == want
+
+
+def test_step_groups_are_equal_over_blocks(spark):
+    rng = random.Random(3)
+    data = [(i, words(rng, rng.randrange(1, 400))) for i in range(400)]
+    tokens, order = defaultdict(int), defaultdict(list)
+    for r in pack(docs(spark, data).coalesce(1), PATH, window=64, block_bytes=10_000).orderBy("sequence_id").collect():
+        if r.step_group not in tokens:
+            order[r.window].append(r.step_group)
+        tokens[r.step_group] += r.length
+    assert len(order[64]) > 3
+    for groups in order.values():
+        assert all(tokens[g] == STEP_TOKENS for g in groups[:-1]) and tokens[groups[-1]] <= STEP_TOKENS
