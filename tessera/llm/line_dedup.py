@@ -26,8 +26,9 @@ from pyspark.sql.types import StructType
 from . import exchange as X
 from . import text as T
 
-#: Code points of the shortest line that is judged at all, and of the shortest that may differ by an edit.
-LEAST, LEAST_NEAR = 10, 20
+#: Code points of the shortest line that is judged at all, and of the shortest that may differ by an edit: below, most lines
+#: one edit apart are different words (figures in the README).
+LEAST, LEAST_NEAR = 1, 10
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _I1, _I2 = np.uint64(pow(int(_P1), -1, 1 << 64)), np.uint64(pow(int(_P2), -1, 1 << 64))
 _POINTS = T.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x1234567))
@@ -100,7 +101,7 @@ def coarse_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(docs: DataFrame, least: int):
+def _blocks(docs: DataFrame, least: int, least_near: int):
     """The scan: for each distinct line of a block its hashes and first position, and its coarse keys."""
 
     def emit(batches):
@@ -112,7 +113,7 @@ def _blocks(docs: DataFrame, least: int):
             h1, h2 = lines.hashes(0), lines.hashes(1)
             order = np.lexsort((lines.number, tags[lines.doc], ids[lines.doc], h1))
             order = order[np.r_[True, h1[order[1:]] != h1[order[:-1]]]]
-            near = lines.length[order] >= LEAST_NEAR
+            near = lines.length[order] >= least_near
             keys = np.zeros((len(order), 8), np.uint64)
             keys[near] = coarse_keys(lines, order[near])
             flat, at = keys.reshape(-1).view(np.uint8), np.r_[0, np.cumsum(np.where(near, 64, 0))]
@@ -236,12 +237,12 @@ def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, lea
     return met.where(earlier < F.col("at")).select("h1").distinct()
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None, least_near: int = LEAST_NEAR) -> DataFrame:
     """The documents with all their columns, text without repeated lines, and n_lines, n_removed, n_blank_left.
 
-    A line is a piece between newlines, judged without white space at its ends if that leaves `least` code points or more. It
-    goes if an earlier line, at a smaller doc_id or earlier in the text, equals it or, both having LEAST_NEAR code points or
-    more, is one edit apart; lines are judged on the input, not on what is left. Other lines stay as they are, in place. If
+    A line is a piece between newlines, judged without white space at its ends if that leaves `least` code points or more (all
+    but blank lines). It goes if an earlier line, at a smaller doc_id or earlier in the text, equals it or, both having
+    `least_near` code points or more, is one edit apart; lines are judged on the input, not on what is left. Other lines stay as they are, in place. If
     n_chars is a column it is the new text's length. A null text stays null, with no lines. A null doc_id comes first. Rows
     that share a doc_id come in the order of a hash of their texts; rows that also share the text are one document and lose the
     same lines. An empty table gives no rows. Columns named n_lines, n_removed or n_left are replaced.
@@ -249,7 +250,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None) -
     docs = docs.drop("n_lines", "n_removed", "n_left")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     parts = parts or X.parts_for(docs)
-    scan = X.cut(_blocks(own, least))
+    scan = X.cut(_blocks(own, least, least_near))
     spread = F.pmod(F.xxhash64("at.doc_id"), F.lit(parts)).cast("int")
     by_hash = scan.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "line")).alias("at"))
     lines = X.cut(by_hash.select(spread.alias("part"), "at.*", "h1"))

@@ -21,7 +21,8 @@ def tokenizer() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+    # the bounds of its SQL; the operator judges shorter lines too
+    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=10, least_near=20))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

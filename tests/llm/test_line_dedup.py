@@ -79,3 +79,20 @@ def test_counts(spark):
     data = [(1, "a line of some length here\n\nb"), (2, "a line of some length here\nA line of some length here\nnew line of another kind")]
     out = {r.doc_id: (r.n_lines, r.n_removed, r.text_sha256) for r in L.digests(L.dedup_lines(docs(spark, data))).collect()}
     assert out == {1: (2, 0, L.sha256(data[0][1])), 2: (3, 2, L.sha256("new line of another kind"))}
+
+
+def test_short_lines_are_judged(spark):
+    rng = random.Random(4)
+    # one edit apart and long enough are the last two alone
+    pool = ["Les.", "Lis.", "And ornd.", "And ornt.", "x", "}", "é", "日本", "🙂", "w1 w2", "With and to.", "With, and to."]
+    data = [(i, "\n".join(rng.choice([s, " " + s + "\t", ""]) for s in rng.choices(pool, k=4))) for i in range(30)]
+    seen, want = set(), {}
+    for i, t in data:
+        kept = []
+        for piece in t.split("\n"):
+            s = piece.strip(SPACE).replace("With,", "With")
+            if not s or s not in seen:
+                kept.append(piece)
+            seen.add(s)
+        want[i] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs(spark, data).repartition(3), parts=3).collect()} == want
