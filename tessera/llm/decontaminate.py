@@ -1,13 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by documents: a segment holds the postings of a block of documents,
-for each term its positions in the block, sorted. Only terms of the test set are indexed, as no
-other can match. Segments can be stored and searched, again and again.
+for each term its positions in the block, sorted. Stored segments hold all terms, so they can be
+searched for one test set after another; a search reads the lists of its own terms.
 
 A search takes the test windows in blocks of bounded size. In each segment a window starts from
 the list of the term that is rarest there, shifts it by the term's offset, and intersects it with
 the shifted lists of the other terms, the next rarest first; what is left are exact phrases.
-Proximity search does the same with lists widened by a slop.
+Proximity search does the same with lists widened by a slop. A document's contamination is a
+summary of its phrases.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from . import text as T
 ITEM_BYTES = 1 << 20
 #: Candidate positions that are intersected at a time.
 STEP = 1 << 20
+MATCHES = "doc_id long, item_id string, start long, width int, kind string"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -71,6 +73,17 @@ class Segment:
         keys = (term[at].astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
         return cls(np.sort(keys), first)
 
+    @classmethod
+    def read(cls, table: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, vocabulary: np.ndarray) -> Segment:
+        """The segment of these terms alone, from the postings of all of a block's terms."""
+        hashes, n, positions = table
+        if not len(vocabulary) or not len(hashes):
+            return cls(np.zeros(0, np.uint64), first)
+        term = np.searchsorted(vocabulary, hashes)
+        term[term == len(vocabulary)] = 0
+        own = vocabulary[term] == hashes
+        return cls((np.repeat(term[own], n[own]).astype(np.uint64) << np.uint64(32)) | positions[np.repeat(own, n)].astype(np.uint64), first)
+
     def lists(self, terms: int) -> np.ndarray:
         """Where each term's list begins; one more than terms."""
         return np.searchsorted(self.keys, np.arange(terms + 1, dtype=np.uint64) << np.uint64(32))
@@ -81,28 +94,39 @@ class Segment:
         at[at == len(self.keys)] = 0
         return self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
 
-    def phrases(self, windows: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its first word) of every occurrence inside one document."""
-        width = windows.shape[1]
+    def within(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a term has a position from low to high, both included."""
+        least, most = np.maximum(low, 0), np.maximum(high, 0)
+        base = terms.astype(np.uint64) << np.uint64(32)
+        some = np.searchsorted(self.keys, base | most.astype(np.uint64), "right") > np.searchsorted(self.keys, base | least.astype(np.uint64))
+        return some & (high >= least)
+
+    def rarest(self, windows: np.ndarray, terms: int):
+        """In steps: windows, the positions of their rarest terms, those positions' documents, and all windows' offsets by rarity."""
         begins = self.lists(terms)
         lengths = np.diff(begins)[windows]
         rarity = np.argsort(lengths, axis=1, kind="stable")
         count = np.take_along_axis(lengths, rarity[:, :1], 1)[:, 0]
         live = np.flatnonzero(count)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         total = np.cumsum(count[live])
         i = 0
         while i < len(live):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + STEP, "right")))
             own = live[i:j]
             window = np.repeat(own, count[own])
-            offset = rarity[window, 0]
             begin = begins[windows[own, rarity[own, 0]]]
             ends = np.cumsum(count[own])
             which = np.arange(len(window)) - np.repeat(ends - count[own], count[own]) + np.repeat(begin, count[own])
             position = (self.keys[which] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            doc = np.searchsorted(self.first, position, "right") - 1
-            start = position - offset
+            yield window, position, np.searchsorted(self.first, position, "right") - 1, rarity
+            i = j
+
+    def phrases(self, windows: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position of its first word) of every occurrence inside one document."""
+        width = windows.shape[1]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for window, position, doc, rarity in self.rarest(windows, terms):
+            start = position - rarity[window, 0]
             keep = (start >= self.first[doc]) & (start + width <= self.first[doc + 1])
             window, start = window[keep], start[keep]
             for k in range(1, width):
@@ -112,9 +136,36 @@ class Segment:
                 keep = self.has(windows[window, offset], start + offset)
                 window, start = window[keep], start[keep]
             found.append((window, start))
-            i = j
         return np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
 
+    def proximities(self, windows: np.ndarray, terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position), sorted, of every position from which each term lies within `slop` of its offset, all in one document."""
+        width = windows.shape[1]
+        found = [np.zeros((0, 2), np.int64)]
+        for window, position, doc, rarity in self.rarest(windows, terms):
+            start = position - rarity[window, 0]
+            # the rarest term itself may be off by `slop`: first what is within twice that, then each start
+            for spread in (2 * slop, slop):
+                if spread == slop:
+                    step = np.tile(np.arange(-slop, slop + 1), len(start))
+                    window, start, doc = (np.repeat(x, 2 * slop + 1) for x in (window, start, doc))
+                    start = start + step
+                    keep = (start >= self.first[doc]) & (start < self.first[doc + 1])
+                    window, start, doc = window[keep], start[keep], doc[keep]
+                for k in range(1, width):
+                    if not len(window):
+                        break
+                    offset = rarity[window, k]
+                    low = np.maximum(start + offset - spread, self.first[doc])
+                    high = np.minimum(start + offset + spread, self.first[doc + 1] - 1)
+                    keep = self.within(windows[window, offset], low, high)
+                    window, start, doc = window[keep], start[keep], doc[keep]
+                if spread == 0:
+                    break
+            found.append(np.stack([window, start], 1))
+        both = np.unique(np.concatenate(found), axis=0)
+        return both[:, 0], both[:, 1]
+
     def near(self, window: np.ndarray, terms: int, slop: int) -> np.ndarray:
         """Positions of the window's rarest term that have every other term within its offset plus or minus `slop`, in one document."""
         begins = self.lists(terms)
@@ -131,20 +182,36 @@ class Segment:
         return at
 
 
-def _score(segment: Segment, blocks: list[Windows], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """By document: words, words hit, and the sorted items with occurring windows."""
-    n_docs = len(segment.first) - 1
-    steps = np.zeros(int(segment.first[-1]) + 1, np.int32)
-    items: list[set[str]] = [set() for _ in range(n_docs)]
+def _matches(segment: Segment, blocks: list[Windows], vocabulary: np.ndarray, slop: int | None = None):
+    """For each group of windows of one width: width, kind, window, position, and the names of each window's items."""
     for block in blocks:
         number = np.searchsorted(vocabulary, block.vocabulary).astype(np.int32)
         for windows, sources in block.groups:
+            names = [sorted({block.names[i] for i in x}) for x in sources]
             window, start = segment.phrases(number[windows], len(vocabulary))
-            np.add.at(steps, start, 1)
-            np.add.at(steps, start + windows.shape[1], -1)
-            doc = np.searchsorted(segment.first, start, "right") - 1
-            for d, w in np.unique(np.stack([doc, window], 1), axis=0).tolist():
-                items[d].update(block.names[i] for i in sources[w])
+            yield windows.shape[1], "phrase", window, start, names
+            if slop is None:
+                continue
+            near, at = segment.proximities(number[windows], len(vocabulary), slop)
+            # positions in a row are one match, of a document, and one that holds a phrase is that phrase
+            doc = np.searchsorted(segment.first, at, "right")
+            head = np.r_[True, (near[1:] != near[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])][: len(at)]
+            exact = np.isin(near << 32 | at, window << 32 | start)
+            loose = ~np.logical_or.reduceat(exact, np.flatnonzero(head)) if len(at) else np.zeros(0, bool)
+            yield windows.shape[1], "proximity", near[head][loose], at[head][loose], names
+
+
+def _score(segment: Segment, blocks: list[Windows], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """By document, from its phrases: words, words hit, and the sorted items with occurring windows."""
+    n_docs = len(segment.first) - 1
+    steps = np.zeros(int(segment.first[-1]) + 1, np.int32)
+    items: list[set[str]] = [set() for _ in range(n_docs)]
+    for width, _, window, start, names in _matches(segment, blocks, vocabulary):
+        np.add.at(steps, start, 1)
+        np.add.at(steps, start + width, -1)
+        doc = np.searchsorted(segment.first, start, "right") - 1
+        for d, w in np.unique(np.stack([doc, window], 1), axis=0).tolist():
+            items[d].update(names[w])
     hit = np.r_[0, np.cumsum(np.cumsum(steps[:-1]) > 0)]
     return np.diff(segment.first), hit[segment.first[1:]] - hit[segment.first[:-1]], [sorted(x) for x in items]
 
@@ -172,21 +239,62 @@ def _columns(n_words, n_hit, items) -> dict[str, pa.Array]:
     }
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """Rows (ids, segment): the segments of the index, for the terms with these hashes. Write them to keep them."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+    """Rows (ids, terms, segment): the segments of the index, with all terms of the documents. Write them to keep them."""
 
     def emit(batches):
         for block in T.blocks(batches, "text", block_bytes):
-            s = Segment.build(block.column("text"), shared.value)
-            steps = s.keys.copy()
-            steps[1:] -= s.keys[:-1]
+            hashes, first = T.hash_words(block.column("text"), T.NOT_ALNUM, lower=True)
+            at = np.argsort(hashes, kind="stable")
+            hashes = hashes[at]
+            begin = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
             yield pa.record_batch({
-                "ids": pa.array([X.seal(pa.table({"doc_id": block.column("doc_id"), "n": np.diff(s.first)}))], pa.binary()),
-                "segment": pa.array([X.seal(pa.table({"step": steps}))], pa.binary()),
+                "ids": pa.array([X.seal(pa.table({"doc_id": block.column("doc_id"), "n": np.diff(first)}))], pa.binary()),
+                "terms": pa.array([X.seal(pa.table({"hash": hashes[begin], "n": np.diff(np.r_[begin, len(hashes)]).astype(np.int32)}))], pa.binary()),
+                "segment": pa.array([X.seal(pa.table({"step": np.diff(at, prepend=0).astype(np.int32)}))], pa.binary()),
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "ids binary, segment binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "ids binary, terms binary, segment binary")
+
+
+def _segments(batches, vocabulary: np.ndarray):
+    """(doc_ids, segment) of each row of an index, for these terms."""
+    for batch in batches:
+        for ids, terms, steps in zip(batch.column("ids"), batch.column("terms"), batch.column("segment"), strict=True):
+            ids, terms = X.unseal(ids.as_py()), X.unseal(terms.as_py())
+            first = np.r_[0, np.cumsum(ids["n"].to_numpy())].astype(np.int64)
+            positions = np.cumsum(X.unseal(steps.as_py())["step"].to_numpy(), dtype=np.int64)
+            yield ids["doc_id"].combine_chunks(), Segment.read((terms["hash"].to_numpy(), terms["n"].to_numpy(), positions), first, vocabulary)
+
+
+def _test_set(items: DataFrame, width: int) -> tuple[list[Windows], np.ndarray]:
+    blocks = _item_blocks(items, width)
+    return blocks, np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.vocabulary for b in blocks)]))
+
+
+def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None) -> DataFrame:
+    """Where windows of test items occur: doc_id, item_id (as text), start, width (in words; start counts from 0) and kind.
+
+    index: of `build_index`, as built or read again. A phrase is a window word for word. With `slop`, a proximity is a position
+    from which each of the window's words has an occurrence at most `slop` words off its place, in one document: words may be
+    inserted or change places, not be missing. Positions in a row are one match, at the first, and are left out where they hold
+    a phrase of that window. A match has a row for each document row and each item it occurs in.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(_test_set(items, width))
+    kinds = {"doc_id": pa.int64(), "item_id": pa.string(), "start": pa.int64(), "width": pa.int32(), "kind": pa.string()}
+
+    def emit(batches):
+        blocks, vocabulary = shared.value
+        for doc_ids, segment in _segments(batches, vocabulary):
+            rows = set()
+            for n, kind, window, start, names in _matches(segment, blocks, vocabulary, slop):
+                doc = np.searchsorted(segment.first, start, "right") - 1
+                rows.update((d, name, p, n, kind) for d, w, p in zip(doc.tolist(), window.tolist(), (start - segment.first[doc]).tolist(), strict=True) for name in names[w])
+            columns = list(zip(*sorted(rows), strict=True)) or [[]] * len(kinds)
+            columns[0] = doc_ids.take(pa.array(columns[0], pa.int64()))
+            yield pa.record_batch([pa.array(c, k) if i else c for i, (c, k) in enumerate(zip(columns, kinds.values(), strict=True))], names=list(kinds))
+
+    return index.mapInArrow(emit, MATCHES)
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, store: bool = True) -> DataFrame:
@@ -197,29 +305,21 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, store: boo
     without words. Rows that share a doc_id are judged each by itself; a null doc_id stays null. Items that share an item_id
     count once, a null one as "None". Empty tables give no rows, or rows without hits.
     """
-    blocks = _item_blocks(items, width)
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.vocabulary for b in blocks)]))
-    index = build_index(docs, vocabulary)
+    index = build_index(docs)
     index = X.cut(index) if store else index
-    shared = docs.sparkSession.sparkContext.broadcast((blocks, vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(_test_set(items, width))
 
-    def search(batches):
+    def emit(batches):
         windows, terms = shared.value
-        for batch in batches:
-            for ids, steps in zip(batch.column("ids"), batch.column("segment"), strict=True):
-                ids = X.unseal(ids.as_py())
-                first = np.r_[0, np.cumsum(ids["n"].to_numpy())].astype(np.int64)
-                keys = np.cumsum(X.unseal(steps.as_py())["step"].to_numpy(), dtype=np.uint64)
-                yield pa.record_batch({"doc_id": ids["doc_id"].combine_chunks()} | _columns(*_score(Segment(keys, first), windows, terms)))
+        for doc_ids, segment in _segments(batches, terms):
+            yield pa.record_batch({"doc_id": doc_ids} | _columns(*_score(segment, windows, terms)))
 
-    return index.mapInArrow(search, RESULT)
+    return index.mapInArrow(emit, RESULT)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The documents, with all their columns, of which no word lies in a window of a test item."""
-    blocks = _item_blocks(items, width)
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.vocabulary for b in blocks)]))
-    shared = docs.sparkSession.sparkContext.broadcast((blocks, vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(_test_set(items, width))
 
     def keep(batches):
         windows, terms = shared.value

@@ -78,3 +78,44 @@ def test_proximity():
     first = s.first
     where = {int(np.searchsorted(first, p, "right") - 1) for p in s.near(window, 3, 1)}
     assert where == {0, 2}
+
+
+def brute_matches(data, items, width, slop):
+    out = set()
+    for item, t in items:
+        w = split(t)
+        n = min(width, len(w))
+        for window in {tuple(w[s : s + n]) for s in range(len(w) - n + 1 if n else 0)}:
+            for i, text in data:
+                own = split(text)
+                phrases = {s for s in range(len(own) - n + 1) if tuple(own[s : s + n]) == window}
+                out |= {(i, str(item), s, n, "phrase") for s in phrases}
+                loose = [s for s in range(len(own)) if all(x in own[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, x in enumerate(window))]
+                for s in loose:
+                    if s - 1 not in loose:
+                        run = next(e for e in range(s, len(own) + 1) if e not in loose)
+                        if not phrases & set(range(s, run)):
+                            out.add((i, str(item), s, n, "proximity"))
+    return out
+
+
+def test_search_equals_brute_force(spark, monkeypatch, tmp_path):
+    data, items = case()
+    data = [(i, t) for i, t in data if len(t or "") < 2000 and i not in (None, 1, 3)]
+    base = split(items[0][1])
+    swapped = [*base[:4], base[5], base[4], *base[6:]]
+    data += [(900, " ".join([*base[:5], "inserted", *base[5:]])), (901, " ".join(swapped)), (902, " ".join([*base[:5], "instead", *base[6:]]))]
+    later = [(50, "only this benchmark has inserted terms"), (51, data[3][1])]
+    D.build_index(docs(spark, data + [(903, later[0][1])]).repartition(3), block_bytes=2000).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    data += [(903, later[0][1])]
+    for tests, width, slop, step in ((items, 10, 1, 1 << 20), (items, 3, 2, 50), (later, 4, 0, 1 << 20)):
+        monkeypatch.setattr(D, "STEP", step)
+        got = D.search(index, item_table(spark, tests), width, slop).collect()
+        want = brute_matches(data, tests, width, slop)
+        assert set(map(tuple, got)) == want and len(got) == len(want)
+        if width == 10:
+            assert {(900, "proximity"), (901, "proximity")} <= {(r.doc_id, r.kind) for r in got}
+        elif tests is later:
+            assert (903, "50", 0, 4, "phrase") in want
+    assert {r.kind for r in D.search(index, item_table(spark, items)).collect()} == {"phrase"}
