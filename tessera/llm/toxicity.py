@@ -7,7 +7,7 @@ hashed features and for transitions, and is fitted to segments of those document
 forward-backward marginals give each word's probability; sums and maxima of them, by a logistic
 model fitted to the labels, give the document's score, and runs of likely words its spans.
 
-The fit uses a bounded sample of labelled rows, in one task; scoring is one pass without a shuffle.
+The fit uses a bounded sample of labelled rows, and of their segments, in one task; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ SAMPLE = 4_000
 BITS = 18
 #: Lengths in bytes of the beginnings of a word that are features, and of its ending.
 PREFIXES, SUFFIX = (4, 5, 6, 7, 8), 4
+#: Words of a segment; a text's last one, or a short text's only one, is padded.
 SEGMENT = 24
+#: Segments to fit on at most: with suspect words, and without (as many as with, if those are more).
+HARD_SEGMENTS, OTHER_SEGMENTS = 20_000, 2_000
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 
@@ -78,22 +81,29 @@ def _distinct(low, starts, ends, hashes) -> tuple[np.ndarray, np.ndarray]:
 # Fitting
 
 
-def _marginals(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For segments x words of log odds and log transitions: P(toxic), and the sum of pair probabilities."""
+def _marginals(e: np.ndarray, t: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For segments x words of log odds and log transitions: P(toxic), and the sum of pair probabilities.
+
+    Words of a segment that aren't `real` come after those that are. They have no odds and their transitions don't count, so
+    the rest is as if they weren't there; their own probability means nothing.
+    """
     s, n = e.shape
+    real = np.ones((s, n), bool) if real is None else real
+    e = np.where(real, e, 0.0)
     emit = np.stack([np.zeros_like(e), e], 2)
     a, b = np.empty((s, n, 2)), np.zeros((s, n, 2))
     a[:, 0] = emit[:, 0]
     for i in range(1, n):
-        a[:, i] = emit[:, i] + np.logaddexp(a[:, i - 1, :1] + t[0], a[:, i - 1, 1:] + t[1])
+        x = emit[:, i] + np.logaddexp(a[:, i - 1, :1] + t[0], a[:, i - 1, 1:] + t[1])
+        a[:, i] = np.where(real[:, i, None], x, a[:, i - 1])
     for i in range(n - 2, -1, -1):
         x = emit[:, i + 1] + b[:, i + 1]
-        b[:, i] = np.logaddexp(t[:, 0] + x[:, :1], t[:, 1] + x[:, 1:])
+        b[:, i] = np.where(real[:, i + 1, None], np.logaddexp(t[:, 0] + x[:, :1], t[:, 1] + x[:, 1:]), 0.0)
     z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
     pairs = np.zeros((2, 2))
     for i in range(1, n):
         x = a[:, i - 1, :, None] + t + (emit[:, i] + b[:, i])[:, None, :] - z[:, None, None]
-        pairs += np.exp(np.minimum(x, 0)).sum(0)
+        pairs += np.exp(np.minimum(x, 0))[real[:, i]].sum(0)
     return np.exp(np.minimum(a[:, :, 1] + b[:, :, 1] - z[:, None], 0)), pairs
 
 
@@ -155,25 +165,25 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 1) -> Model:
     # segments of documents; all with suspect words, and as many others
     size = -(-np.diff(first) // SEGMENT)
     begin = np.repeat(first[:-1], size) + (np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)) * SEGMENT
-    begin = begin[begin + SEGMENT <= np.repeat(first[1:], size)]
-    if not len(begin):  # only short texts: one segment over all
-        begin = np.arange(0, max(1, len(word) - SEGMENT + 1), SEGMENT)
+    left = np.minimum(np.repeat(first[1:], size) - begin, SEGMENT)
+    real = np.arange(SEGMENT) < left[:, None]
     at = np.minimum(begin[:, None] + np.arange(SEGMENT), len(word) - 1)
-    hard = np.flatnonzero(suspect[at].any(1))
+    hot = (suspect[at] & real).any(1)
+    hard = np.flatnonzero(hot)
     rng = np.random.default_rng(seed)
-    other = rng.permutation(np.flatnonzero(~suspect[at].any(1)))[: max(2000, len(hard))]
-    use = np.r_[rng.permutation(hard)[:20_000], other]
-    at = at[use]
-    f, target = features[word[at]], label[at].astype(float)
+    other = rng.permutation(np.flatnonzero(~hot))[: max(OTHER_SEGMENTS, len(hard))]
+    use = np.r_[rng.permutation(hard)[:HARD_SEGMENTS], other]
+    at, real = at[use], real[use]
+    f, target = features[word[at]], np.where(real, label[at], False).astype(float)
     weights, bias, t = np.zeros(1 << BITS), -2.0, np.zeros((2, 2))
     g_w, g_b, g_t = np.full(1 << BITS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     wanted = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
-            wanted[i, j] = ((target[:, :-1] == i) & (target[:, 1:] == j)).sum()
+            wanted[i, j] = ((target[:, :-1] == i) & (target[:, 1:] == j) & real[:, 1:]).sum()
     for _ in range(40):
-        p, pairs = _marginals(weights[f].sum(2) + bias, t)
-        error = target - p
+        p, pairs = _marginals(weights[f].sum(2) + bias, t, real)
+        error = np.where(real, target - p, 0.0)
         grad = np.bincount(f.ravel(), np.repeat(error.ravel(), f.shape[2]), 1 << BITS) - 0.02 * weights
         g_w += grad**2
         weights += 0.4 * grad / np.sqrt(g_w)

@@ -79,3 +79,24 @@ def test_degenerate_labels(spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert X.labelled_sample(d, none) == []
     assert not X.train(d, none).weights.any()
+
+
+def test_padding_changes_nothing():
+    rng = np.random.default_rng(5)
+    e, t = rng.normal(size=(3, 6)), rng.normal(size=(2, 2))
+    lengths = (6, 3, 1)
+    p, pairs = X._marginals(e, t, np.arange(6) < np.array(lengths)[:, None])
+    alone = [X._marginals(e[k : k + 1, :n], t) for k, n in enumerate(lengths)]
+    assert all(np.allclose(p[k, :n], alone[k][0][0]) for k, n in enumerate(lengths))
+    assert np.allclose(pairs, sum(x for _, x in alone))
+
+
+def test_short_texts_and_ends_are_learnt():
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(f"word{chr(97 + k)}" for k in rng.integers(0, 20, n))
+    data = [(say(40), 0) for _ in range(150)] + [(say(6), 0) for _ in range(50)]
+    data += [(say(4) + " zqshort " + say(1), 1) for _ in range(25)] + [(say(30) + " vxending", 1) for _ in range(25)]
+    model = X.fit(data)
+    score, (p, *_) = X.score_batch(model, pa.array(["worda zqshort wordb", "worda vxending", "worda wordb wordc"]))
+    assert p[1] > 0.5 and p[4] > 0.5 and p[5:].max() < 0.5
+    assert score[0] > 0.5 and score[1] > 0.5 and score[2] < 0.5
