@@ -1,290 +1,406 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class, given the classes before it, times that of the token
-in its class. Classes are the end of a text, a repeat of the word before, of the word before that,
-and hashed word endings. The class softmax has weights for n-gram and skip features of the last
-three classes, hashed where there are many, and is trained by distributed gradient updates: shards
-of the corpus's class counts compute gradients in parallel, the driver adds them and steps. The
-token factor, and the add-one unigram base, come from counts of all tokens of all training texts.
-
-Counts of a vocabulary that grows with the corpus are gathered by an exchange: parts of documents
-send their distinct tokens' hashes with counts to buckets, which return the totals.
+A token's probability is that of its class, given what precedes it, times that of its slot among
+the class's, given class and what precedes it, times its share of the slot. Classes are hashed
+endings of words and the end of a text; slots are hashed words. Both softmaxes are maximum-entropy
+models over n-gram and skip features: the word before, the one before that, the two together, and
+endings of the words before, each hashed to a row of weights. A token's share of its slot is its
+add-one relative frequency there; a slot holds few words, so the share is that of hash collisions.
+
+Training is distributed: each shard of the corpus takes gradient steps over all its tokens from the
+shared weights, and the shards' changes are averaged row by row, weighted by how often a shard met
+the row. Counts of a vocabulary that grows with the corpus are gathered by an exchange over the
+digits of the tokens' hashes: blocks send their distinct tokens with counts to buckets, groups of
+blocks are merged before they are sent on, and totals return the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import text as T
 
-#: Classes: the end, a repeat, a repeat at distance two, and hashed endings.
-CLASSES = 48
-END, AGAIN, SKIPPED = 0, 1, 2
+#: Classes (the end of a text is class 0), and slots of a class.
+CLASSES, SLOTS = 64, 64
+#: Rows of weights of the class softmax, and of the slot softmax, whose first CLASSES rows are the classes' own.
+CLASS_ROWS, SLOT_ROWS = 1 << 13, 1 << 15
+#: Bytes of a word's end that decide its class.
 ENDING = 3
-#: Rows of the hashed trigram features.
-HASHED = 1 << 13
-SHARDS, ROUNDS, STEP, PRIOR = 2, 12, 1.0, 50.0
-#: Bytes of text in a part of the exchange of counts.
-PART_BYTES = 4 << 20
+#: Passes over the training texts, the size of a step, tokens of a step, and bytes of text of a shard.
+ROUNDS, STEP, BATCH, SHARD_BYTES = 1, 1.0, 4096, 16 << 20
+#: Rows of weights in a row of the table of changes, and shards that are averaged at a time.
+ROWS_SENT, SHARDS_AVERAGED = 1024, 256
+#: Blocks that are merged at a time in the exchange of counts, and buckets of a digit of a hash: 2^DIGIT.
+MERGED, DIGIT = 256, 8
 _END_HASH = np.uint64(0x9D2C5680CA3F1B07)
+_CLASS_BITS = np.uint64(CLASSES - 1)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and classes (without repeats) of the tokens of each text, an end after its words; and first tokens."""
-    data, at = T.flat(column)
-    low = T.LOWER[data]
-    starts, ends, first = T.spans(low, at, T.SPACE)
-    h, tail = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
-    for i, j in T.slices(at):
-        a, b = first[i], first[j]
-        own, begin, end = low[at[i] : at[j]], starts[a:b] - at[i], ends[a:b] - at[i]
-        h[a:b] = T.span_hash(own, begin, end)
-        tail[a:b] = T.span_hash(own, np.maximum(begin, end - ENDING), end)
-    n = np.diff(first)
-    at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-    out, kind = np.full(len(h) + len(n), _END_HASH), np.full(len(h) + len(n), END, np.uint8)
-    out[at] = h
-    kind[at] = 3 + (T.mix(tail) % np.uint64(CLASSES - 3)).astype(np.uint8)
-    return out, kind, first + np.arange(len(first))
-
-
-def histories(h: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes with repeats, and the context of each token: its last three classes as one number."""
-    n = len(h)
-    since = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    out = kind.astype(np.int32)
-    word = kind != END
-    again, skipped = np.zeros(n, bool), np.zeros(n, bool)
-    again[1:] = word[1:] & (h[1:] == h[:-1]) & (since[1:] >= 1)
-    skipped[2:] = word[2:] & (h[2:] == h[:-2]) & (since[2:] >= 2) & ~again[2:]
-    out[again], out[skipped] = AGAIN, SKIPPED
-    context = np.zeros(n, np.int32)
-    for k in (3, 2, 1):
-        before = np.zeros(n, np.int32)
-        before[k:] = out[:-k]
-        before[since < k] = END
-        context = context * CLASSES + before
-    return out, context
-
-
-# Training of the class softmax
+# Tokens
 
 
 @dataclass
-class Weights:
-    """A row of class weights for each value of each feature of a context."""
+class Tokens:
+    """The tokens of some texts: the hash of each, with its class in the lowest bits, the hash of its ending, its position in
+    its text, and the first token of each text (one more than texts)."""
 
-    rows: list[np.ndarray]
+    word: np.ndarray
+    ending: np.ndarray
+    since: np.ndarray
+    first: np.ndarray
 
-    @staticmethod
-    def features(context: np.ndarray) -> list[np.ndarray]:
-        a, b, c = context % CLASSES, context // CLASSES % CLASSES, context // CLASSES**2
-        hashed = (T.mix(context.astype(np.uint64) + np.uint64(11)) % np.uint64(HASHED)).astype(np.int64)
-        return [np.zeros_like(a), a, b, c, b * CLASSES + a, c * CLASSES + a, hashed]
+    def classes(self) -> np.ndarray:
+        return (self.word & _CLASS_BITS).astype(np.int32)
 
-    @staticmethod
-    def sizes() -> list[int]:
-        return [1, CLASSES, CLASSES, CLASSES, CLASSES**2, CLASSES**2, HASHED]
-
-    def log_probabilities(self, context: np.ndarray) -> np.ndarray:
-        z = sum(w[f] for w, f in zip(self.rows, self.features(context), strict=True))
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def table(self) -> np.ndarray:
-        """log10 P(class | context) of all contexts."""
-        out = np.empty((CLASSES**3, CLASSES), np.float32)
-        for i in range(0, len(out), 1 << 14):
-            out[i : i + (1 << 14)] = self.log_probabilities(np.arange(i, min(len(out), i + (1 << 14)))) / np.log(10)
+    def slots(self) -> np.ndarray:
+        return _slot(self.word)
+
+
+def _slot(word: np.ndarray) -> np.ndarray:
+    """The slot is in a hash's highest bits, so that a bucket of the exchange is part of one slot of each class."""
+    return (word >> np.uint64(58)).astype(np.int32)
+
+
+def tokens(column) -> Tokens:
+    """The tokens of each text: its words, and an end."""
+    data, at = T.flat(column)
+    n_texts = len(at) - 1
+    words, endings, counts = [], [], np.zeros(n_texts, np.int64)
+    for i, j in T.slices(at):
+        low = T.LOWER[data[at[i] : at[j]]]
+        starts, ends, first = T.spans(low, at[i : j + 1] - at[i], T.SPACE)
+        words.append(T.span_hash(low, starts, ends))
+        endings.append(T.span_hash(low, np.maximum(starts, ends - ENDING), ends))
+        counts[i:j] = np.diff(first)
+    first = np.r_[0, np.cumsum(counts + 1)]
+    total = int(first[-1])
+    word, ending = np.full(total, _END_HASH & ~_CLASS_BITS), np.full(total, _END_HASH)
+    inside = np.ones(total, bool)
+    inside[first[1:] - 1] = False
+    if words:
+        ending[inside] = np.concatenate(endings)
+        kind = np.uint64(1) + T.mix(ending[inside]) % np.uint64(CLASSES - 1)
+        word[inside] = np.concatenate(words) & ~_CLASS_BITS | kind
+    return Tokens(word, ending, np.arange(total) - np.repeat(first[:-1], np.diff(first)), first)
+
+
+def features(t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens from a to b: the rows of weights of their classes, and of their slots."""
+
+    def before(x: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(b - a, _END_HASH)
+        lead = max(0, k - a)
+        out[lead:] = x[a + lead - k : b - k]
+        out[t.since[a:b] < k] = _END_HASH
         return out
 
+    w1, w2 = before(t.word, 1), before(t.word, 2)
+    e1, e2, e3 = (before(t.ending, k) for k in (1, 2, 3))
+    own = t.classes()[a:b] if b - a == len(t.word) else (t.word[a:b] & _CLASS_BITS).astype(np.int32)
+    salt = own.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    of_class = [w1, w2, w1 * np.uint64(3) + w2 * np.uint64(7), e1, e2, e3]
+    of_slot = [w1 + salt, w2 + salt, e1 + salt, e2 + salt]
+    rows = np.zeros((b - a, 1 + len(of_class)), np.uint16)
+    inner = np.empty((b - a, 1 + len(of_slot)), np.uint16)
+    inner[:, 0] = own
+    for k, x in enumerate(of_class, 1):
+        rows[:, k] = np.uint64(1) + T.mix(x + np.uint64(k * 0x9E3779B1)) % np.uint64(CLASS_ROWS - 1)
+    for k, x in enumerate(of_slot, 1):
+        inner[:, k] = np.uint64(CLASSES) + T.mix(x + np.uint64(k * 0x85EBCA6B)) % np.uint64(SLOT_ROWS - CLASSES)
+    return rows, inner
 
-def class_counts(docs: DataFrame) -> DataFrame:
-    """Rows (shard, blob): how often each class follows each context, over all documents."""
 
-    def emit(batches):
-        total = np.zeros(CLASSES**4, np.int64)
-        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
-            kind, context = histories(*tokens(block.column("text")))
-            cells, n = np.unique(context.astype(np.int64) * CLASSES + kind, return_counts=True)
-            total[cells] += n
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 1 << 16):
-            part = cells[i : i + (1 << 16)]
-            yield pa.record_batch({"cell": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
-
-    def seal(key, table: pa.Table) -> pa.Table:
-        blob = X.seal(table.select(["cell", "n"]).sort_by("cell").combine_chunks())
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
-
-    # rows are summed by cell over all tasks; only what is left, of a size that doesn't depend on the corpus, goes to shards
-    counts = docs.select("text").mapInArrow(emit, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    shard = F.floor(F.col("cell") / CLASSES).cast("int") % SHARDS
-    return counts.groupBy(shard.alias("shard")).applyInArrow(lambda k, t: seal(k, t), "shard int, blob binary").coalesce(SHARDS)
-
-
-def _start(counts: np.ndarray) -> Weights:
-    """Weights to begin with, from counts of the last two classes and the next: log shares, and how bigrams and trigrams, backed off, differ from them."""
-    rows = [np.zeros((n, CLASSES)) for n in Weights.sizes()]
-    by = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
-    one = by.sum((0, 1))[None] + 1.0
-    p0 = one / one.sum()
-    rows[0][:] = np.log(p0)
-
-    def backed(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        return (n + (kinds + 1) * lower) / (total + kinds + 1)
-
-    p1 = backed(by.sum(0), p0)
-    p2 = backed(by.reshape(-1, CLASSES), np.tile(p1, (CLASSES, 1)))
-    rows[1][:] = np.log(p1) - np.log(p0)
-    rows[4][:] = np.log(p2) - np.log(np.tile(p1, (CLASSES, 1)))
-    return Weights(rows)
-
-
-def _short_counts(shards: DataFrame) -> np.ndarray:
-    """How often each class follows the last two: CLASSES^3 numbers, added up from the shards."""
+# The model
 
-    def emit(batches):
-        for batch in batches:
-            for blob in batch.column("blob"):
-                own = X.unseal(blob.as_py())
-                cell = own["cell"].to_numpy().astype(np.int64)
-                n = np.bincount(cell // CLASSES % CLASSES**2 * CLASSES + cell % CLASSES, own["n"].to_numpy(), CLASSES**3)
-                yield pa.record_batch({"n": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
 
-    total = np.zeros(CLASSES**3, np.int64)
-    for row in shards.mapInArrow(emit, "n binary").collect():
-        total += np.frombuffer(bytes(row.n), np.int64)
-    return total
+@dataclass
+class Weights:
+    """Rows of weights: a class's score is the sum of its weights in the rows of a token's features; likewise a slot's."""
 
+    classes: np.ndarray
+    slots: np.ndarray
 
-def train(shards: DataFrame, rounds: int = ROUNDS) -> Weights:
-    """Fits class weights to counts by distributed gradient updates, scaled as in iterative scaling.
+    @staticmethod
+    def start(counts: np.ndarray) -> Weights:
+        """Weights that give every class and slot its share of all tokens. counts: classes x slots."""
+        out = Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32))
+        out.classes[0] = np.log(counts.sum(1) + 1.0)
+        out.slots[:CLASSES] = np.log(counts + 1.0)
+        return out
+
+    def log_probabilities(self, t: Tokens) -> np.ndarray:
+        """log10 P(class and slot | what precedes) of each token."""
+        out = np.zeros(len(t.word))
+        for a in range(0, len(out), 1 << 13):
+            b = min(len(out), a + (1 << 13))
+            rows, inner = features(t, a, b)
+            word = t.word[a:b]
+            for w, f, target in ((self.classes, rows, (word & _CLASS_BITS).astype(np.int32)), (self.slots, inner, _slot(word))):
+                z = _scores(w, f)
+                out[a:b] += z[np.arange(b - a), target] - np.log(np.exp(z).sum(1))
+        return out / np.log(10)
+
+
+def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows' weights, less the greatest of each token."""
+    z = weights[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        z += weights[rows[:, k]]
+    z -= z.max(1, keepdims=True)
+    return z
+
+
+def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarray, size: float) -> None:
+    """One step down the gradient of the log loss of these tokens; a row's steps shrink with its gradients so far (AdaGrad)."""
+    p = np.exp(_scores(weights, rows))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(target)), target] -= 1
+    flat, k = rows.ravel(), rows.shape[1]
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    which = ordered[begin]
+    # sums along the rows of the transposed gradient: several times as fast as along its columns
+    g = np.add.reduceat(np.take(np.ascontiguousarray(p.T), order // k, axis=1), begin, axis=1).T
+    squares[which] += np.einsum("ij,ij->i", g, g)
+    met[which] += np.diff(np.r_[begin, len(flat)])
+    weights[which] -= (size / np.sqrt(squares[which]))[:, None] * g
+
+
+class Learner:
+    """A shard's own copy of the weights, which takes steps over texts."""
+
+    def __init__(self, start: Weights, size: float = STEP):
+        self.start, self.size = start, size
+        self.now = [start.classes.copy(), start.slots.copy()]
+        self.squares = [np.ones(len(w), np.float32) for w in self.now]
+        self.met = [np.zeros(len(w)) for w in self.now]
+
+    def learn(self, t: Tokens) -> None:
+        for a in range(0, len(t.word), BATCH):
+            b = min(len(t.word), a + BATCH)
+            word = t.word[a:b]
+            targets = (word & _CLASS_BITS).astype(np.int32), _slot(word)
+            for w, s, m, f, y in zip(self.now, self.squares, self.met, features(t, a, b), targets, strict=True):
+                descend(w, s, m, f, y, self.size)
+
+    def changes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Numbered pieces of the weights: how often each row was met, and its change."""
+        k = 0
+        for now, start, met in zip(self.now, (self.start.classes, self.start.slots), self.met, strict=True):
+            for i in range(0, len(now), ROWS_SENT):
+                part = slice(i, i + ROWS_SENT)
+                yield k, met[part], now[part] - start[part]
+                k += 1
+
+
+_CHANGE = pa.schema({"shard": pa.int64(), "k": pa.int32(), "met": pa.binary(), "change": pa.binary()})
+
+
+def _change(shard: int, k: int, met: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([[shard], [k], [met.astype(np.float64).tobytes()], [change.astype(np.float16).tobytes()]], schema=_CHANGE)
+
+
+def _averaged(sent: DataFrame, shards: int) -> DataFrame:
+    """The mean change of each piece over the shards, each row weighted by how often it was met; at most SHARDS_AVERAGED at a time."""
+
+    def add(batches):
+        held = None
+
+        def done():
+            shard, k, met, total = held
+            return _change(shard, k, met, total / np.maximum(met, 1)[:, None])
 
-    The shards hold at most CLASSES^4 counts, however large the corpus; the driver sees sums of them only.
+        for batch in batches:
+            for r in batch.to_pylist():
+                met = np.frombuffer(r["met"], np.float64)
+                change = np.frombuffer(r["change"], np.float16).astype(np.float64).reshape(len(met), -1) * met[:, None]
+                if held is not None and held[:2] == (r["shard"], r["k"]):
+                    held = (*held[:2], held[2] + met, held[3] + change)
+                    continue
+                if held is not None:
+                    yield done()
+                held = (r["shard"], r["k"], met, change)
+        if held is not None:
+            yield done()
+
+    pieces = -(-(CLASS_ROWS + SLOT_ROWS) // ROWS_SENT)
+    while shards > 1:
+        groups = -(-shards // SHARDS_AVERAGED)
+        grouped = sent.withColumn("was", F.col("shard")).withColumn("shard", F.col("shard") % groups)
+        # a group's rows of a piece follow each other, in the order of shards, so sums don't depend on what arrives first
+        sent = grouped.repartition(min(pieces * groups, 4096), "shard", "k").sortWithinPartitions("shard", "k", "was").drop("was").mapInArrow(add, "shard long, k int, met binary, change binary")
+        shards = groups
+    return sent
+
+
+def train(texts: DataFrame, counts: np.ndarray, shards: int, rounds: int = ROUNDS, size: float = STEP) -> Weights:
+    """Weights fitted to the rows that learn, of sealed blocks of texts; counts: of all their tokens, by class and slot.
+
+    A shard holds one copy of the weights and one block; the driver gets one table of changes, of fixed size, a round.
     """
-    counts = _short_counts(shards)
-    weights = _start(counts)
+    weights = Weights.start(counts)
     if not counts.any():
         return weights
-    spark = shards.sparkSession
-    seen = _sums(shards, None)
+    spark = texts.sparkSession
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights.rows])
-        expected = _sums(shards, shared)
-        # the gradient's two halves as a ratio: a step that never overshoots if all features agree, for STEP up to 1
-        for w, o, e in zip(weights.rows, seen, expected, strict=True):
-            w += STEP / len(seen) * np.log((o + PRIOR) / (e + PRIOR))
-        shared.destroy()
+        shared = spark.sparkContext.broadcast(weights)
+
+        def learn(batches, shared=shared):
+            learner = Learner(shared.value, size)
+            for batch in batches:
+                for blob in batch.column("blob"):
+                    table = X.unseal(blob.as_py())
+                    learner.learn(tokens(table["text"].filter(table["learn"])))
+            shard = TaskContext.get().partitionId()
+            for k, met, change in learner.changes():
+                if met.any():
+                    yield _change(shard, k, met, change)
+
+        sent = texts.select("blob").coalesce(shards).mapInArrow(learn, "shard long, k int, met binary, change binary")
+        pieces = [w[i : i + ROWS_SENT] for w in (weights.classes, weights.slots) for i in range(0, len(w), ROWS_SENT)]
+        for row in _averaged(sent, shards).select("k", "change").collect():
+            pieces[row.k] += np.frombuffer(bytes(row.change), np.float16).reshape(pieces[row.k].shape)
+        shared.unpersist()
     return weights
 
 
-def _sums(shards: DataFrame, shared) -> list[np.ndarray]:
-    """By feature, how often each class follows its values: as counted, or with weights as the model expects it."""
+# Counts of the vocabulary
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows (part, blob): sealed tables of doc_id, text and learn, each of a block of rows, whatever their ids."""
 
     def emit(batches):
-        rows = Weights(shared.value) if shared else None
-        sums = [np.zeros((n, CLASSES), np.float32) for n in Weights.sizes()]
-        for batch in batches:
-            for blob in batch.column("blob"):
-                own = X.unseal(blob.as_py())
-                cell, n = own["cell"].to_numpy(), own["n"].to_numpy()
-                contexts, at = np.unique(cell // CLASSES, return_inverse=True)
-                for i in range(0, len(contexts), 1 << 13):
-                    part = contexts[i : i + (1 << 13)]
-                    inside = (at >= i) & (at < i + len(part))
-                    counts = np.zeros((len(part), CLASSES))
-                    counts[at[inside] - i, cell[inside] % CLASSES] = n[inside]
-                    if rows:
-                        counts = counts.sum(1, keepdims=True) * np.exp(rows.log_probabilities(part))
-                    for g, f in zip(sums, Weights.features(part), strict=True):
-                        order = np.argsort(f, kind="stable")
-                        begin = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
-                        g[f[order][begin]] += np.add.reduceat(counts[order], begin, axis=0)
-        for k, g in enumerate(sums):
-            yield pa.record_batch({"k": pa.array([k], pa.int32()), "g": pa.array([g.tobytes()], pa.binary())})
-
-    # SHARDS rows for each feature, of a size that doesn't depend on the corpus
-    total = [np.zeros((n, CLASSES)) for n in Weights.sizes()]
-    for row in shards.mapInArrow(emit, "k int, g binary").collect():
-        total[row.k] += np.frombuffer(bytes(row.g), np.float32).reshape(total[row.k].shape)
-    return total
-
-
-# Vocabulary counts
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
+            table = pa.table({"doc_id": block.column("doc_id"), "text": block.column("text").cast(pa.large_string()), "learn": block.column("learn")})
+            yield pa.record_batch({"part": pa.array([part], pa.int64()), "blob": pa.array([X.seal(table)], pa.binary())})
+            part += 1
 
+    return docs.select("doc_id", "text", "learn").mapInArrow(emit, "part long, blob binary")
 
-def _learns(table: pa.Table) -> np.ndarray:
-    return table["learn"].to_numpy(zero_copy_only=False).astype(bool)
 
+_SENT = pa.schema({"part": pa.int64(), "bucket": pa.int64(), "names": pa.binary(), "counts": pa.binary()})
+_SENT_SQL = "part long, bucket long, names binary, counts binary"
+_TOTAL = pa.schema({"part": pa.int64(), "bucket": pa.int64(), "totals": pa.binary()})
+_TOTAL_SQL = "part long, bucket long, totals binary"
 
-def _part_tokens(texts: pa.Table):
-    """The documents of a part, their tokens, and its distinct hashes with each token's number among them."""
-    table = pa.concat_tables([X.unseal(b.as_py()) for b in texts["blob"]]).combine_chunks()
-    h, kind, first = tokens(table["text"])
-    names, index, number = np.unique(h, return_index=True, return_inverse=True)
-    return table, h, kind, first, names, kind[index], number
 
+def _digits(names: np.ndarray, level: int) -> np.ndarray:
+    return ((names >> np.uint64(64 - DIGIT * level)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
 
-def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
-    return (T.mix(names + np.uint64(5)) % np.uint64(buckets)).astype(np.int32)
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs; the width is a first byte."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or counts.max() < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
-def _parts(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, blob): sealed tables of doc_id, text, learn."""
 
-    def emit(batches):
-        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
-            table = pa.table({"doc_id": block.column("doc_id"), "text": block.column("text").cast(pa.large_string()), "learn": block.column("learn")})
-            for key, rows in X.grouped((X.id_hash(table["doc_id"]) % np.uint64(parts)).astype(np.int32)):
-                yield pa.record_batch({"part": pa.array([key], pa.int32()), "blob": pa.array([X.seal(table.take(pa.array(rows)).combine_chunks())], pa.binary())})
+def _widen(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _send(part: int, bucket: int, names: np.ndarray, counts: np.ndarray, level: int) -> list[tuple]:
+    """Rows of the next digit's buckets; names are in order, so a bucket's follow each other."""
+    cuts = np.searchsorted(_digits(names, level), np.arange((1 << DIGIT) + 1))
+    return [(part, bucket << DIGIT | d, names[a:b].tobytes(), _narrow(counts[a:b])) for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _merge(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Names of each row, the distinct names in order with summed counts, and the number of each row's names among them."""
+    names = [np.frombuffer(x.as_py(), np.uint64) for x in table["names"]]
+    distinct, number = np.unique(np.concatenate(names), return_inverse=True)
+    counts = np.zeros(len(distinct), np.int64)
+    np.add.at(counts, number, np.concatenate([_widen(x.as_py()) for x in table["counts"]]))
+    return names, distinct, counts, number
+
+
+def _replies(table: pa.Table, names: list[np.ndarray], totals: np.ndarray, number: np.ndarray) -> list[tuple]:
+    out, at = [], 0
+    for part, bucket, own in zip(table["part"].to_pylist(), table["bucket"].to_pylist(), names, strict=True):
+        out.append((part, bucket, _narrow(totals[number[at : at + len(own)]])))
+        at += len(own)
+    return out
+
+
+def exchange(sent: DataFrame, parts: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Totals of the counts that parts send: rows (part, bucket, totals), in the order of the names sent; and the rows (bucket,
+    names, totals) of all names, of which each is in one.
+
+    A bucket of the first digits of a hash takes rows of MERGED parts at a time. If there are more, each group of parts is
+    merged to one, which sends its names on to the buckets of the next digit; so a task's rows are bounded at any size, and a
+    part sends as many rows as there are buckets of a digit, not as there are parts.
+    """
+    if parts <= MERGED:
+
+        def settle(key, table: pa.Table) -> pa.Table:
+            names, distinct, counts, number = _merge(table)
+            rows = [(*r, None) for r in _replies(table, names, counts, number)]
+            rows.append((None, table["bucket"][0].as_py(), _narrow(counts), distinct.tobytes()))
+            return _table(rows, _TOTAL.append(pa.field("names", pa.binary())))
+
+        out = X.cut(sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), f"{_TOTAL_SQL}, names binary"))
+        return out.where("part is not null").drop("names"), out.where("part is null").select("bucket", "names", "totals")
+    groups = -(-parts // (MERGED // 2))
+    grouped = sent.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)))
+
+    def merge(key, table: pa.Table) -> pa.Table:
+        _, distinct, counts, _ = _merge(table)
+        return _table(_send(key[0].as_py(), key[1].as_py(), distinct, counts, level + 1), _SENT)
 
-    return docs.select("doc_id", "text", "learn").mapInArrow(emit, "part int, blob binary")
+    def give(key, table: pa.Table, totals: pa.Table) -> pa.Table:
+        names, distinct, _, number = _merge(table)
+        order = np.argsort(totals["bucket"].to_numpy(), kind="stable")
+        back = [_widen(totals["totals"][int(i)].as_py()) for i in order]
+        return _table(_replies(table, names, np.concatenate(back), number), _TOTAL)
 
+    merged = grouped.groupBy("group", "bucket").applyInArrow(lambda k, t: merge(k, t), _SENT_SQL)
+    back, whole = exchange(X.cut(merged), groups, level + 1)
+    returned = back.select(F.col("part").alias("group"), F.shiftright("bucket", DIGIT).alias("of"), "bucket", "totals")
+    out = grouped.groupBy("group", "bucket").cogroup(returned.groupBy("group", "of")).applyInArrow(lambda k, t, r: give(k, t, r), _TOTAL_SQL)
+    return X.cut(out), whole
 
-def _totals(parts: DataFrame, buckets: int) -> DataFrame:
-    """Rows (part, bucket, counts, tokens, types): training counts of the part's tokens in that bucket, in the order of their
-    hashes; and on one row of each bucket (part null) its tokens and types by class."""
 
-    def send(key, texts: pa.Table) -> pa.Table:
-        table, _, _, first, names, kind, number = _part_tokens(texts)
-        use = np.repeat(_learns(table), np.diff(first))
-        n = np.bincount(number[use], minlength=len(names))
-        out = []
-        for b, which in X.grouped(_bucket(names, buckets)):
-            blob = X.seal(pa.table({"n": n[which].astype(np.uint32), "kind": kind[which]}))
-            out.append((int(b), key[0].as_py(), names[which].tobytes(), blob))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEND, strict=True)], schema=_SEND)
+def _by_slot(whole: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and types (known ones) of each class and slot."""
+
+    def emit(batches):
+        tokens_, types = np.zeros((CLASSES, SLOTS), np.int64), np.zeros((CLASSES, SLOTS), np.int64)
+        for batch in batches:
+            for names, totals in zip(batch.column("names"), batch.column("totals"), strict=True):
+                word, n = np.frombuffer(names.as_py(), np.uint64), _widen(totals.as_py())
+                cell = (word & _CLASS_BITS).astype(np.int64), _slot(word)
+                np.add.at(tokens_, cell, n)
+                np.add.at(types, cell, n > 0)
+        some = np.nonzero(types)
+        yield pa.record_batch({"cell": pa.array(some[0] * SLOTS + some[1], pa.int32()), "n": pa.array(tokens_[some]), "v": pa.array(types[some])})
+
+    out = np.zeros((2, CLASSES * SLOTS), np.int64)
+    # at most CLASSES x SLOTS rows
+    for r in whole.mapInArrow(emit, "cell int, n long, v long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        out[:, r.cell] = r.n, r.v
+    return out[0].reshape(CLASSES, SLOTS), out[1].reshape(CLASSES, SLOTS)
 
-    def settle(key, table: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x.as_py(), np.uint64) for x in table["names"]]
-        rest = [X.unseal(x.as_py()) for x in table["blob"]]
-        distinct, index, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-        n = np.concatenate([r["n"].to_numpy() for r in rest])
-        kind = np.concatenate([r["kind"].to_numpy() for r in rest])[index]
-        total = np.bincount(number, n, len(distinct)).astype(np.int64)
-        at, rows = 0, []
-        for part, own in zip(table["part"].to_pylist(), names, strict=True):
-            rows.append((part, key[0].as_py(), X.seal(pa.table({"n": total[number[at : at + len(own)]]})), None, None))
-            at += len(own)
-        by = np.bincount(kind, total, CLASSES).astype(np.int64).tolist(), np.bincount(kind[total > 0], minlength=CLASSES).tolist()
-        rows.append((None, key[0].as_py(), None, *by))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOTAL, strict=True)], schema=_TOTAL)
 
-    sent = parts.groupBy("part").applyInArrow(lambda k, t: send(k, t), "bucket int, part int, names binary, blob binary")
-    return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "part int, bucket int, counts binary, tokens array<long>, types array<long>")
+# Scoring
 
 
-_SEND = pa.schema({"bucket": pa.int32(), "part": pa.int32(), "names": pa.binary(), "blob": pa.binary()})
-_TOTAL = pa.schema({"part": pa.int32(), "bucket": pa.int32(), "counts": pa.binary(), "tokens": pa.list_(pa.int64()), "types": pa.list_(pa.int64())})
+def _learns(table: pa.Table) -> np.ndarray:
+    return table["learn"].to_numpy(zero_copy_only=False).astype(bool)
 
 
 def training_rows(doc_id: str = "doc_id"):
@@ -292,49 +408,55 @@ def training_rows(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def score(docs: DataFrame, learn=None, parts: int | None = None) -> DataFrame:
+def shares(count: np.ndarray, word: np.ndarray, n: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """log10 of a token's share of its slot: add-one, with one more type for all unknown ones."""
+    cell = (word & _CLASS_BITS).astype(np.int64), _slot(word)
+    return np.log10((count + 1) / (n[cell] + v[cell] + 1))
+
+
+def score(docs: DataFrame, learn=None, rounds: int = ROUNDS) -> DataFrame:
     """Scores of whole texts: the add-one unigram base and the model's log10 probability.
 
     docs: doc_id, text; learn: the rows to learn from, by default `training_rows()`. Words are lower-cased in A-Z; a null or
     empty text is its end alone. A token that no training text has counts as one unknown token, in the base and in each
-    class. Rows that share a doc_id are scored, and counted, each by itself; a null doc_id is learnt from. Without rows to
+    slot. Rows that share a doc_id are scored, and counted, each by itself; a null doc_id is learnt from. Without rows to
     learn from all tokens are unknown. An empty table gives no rows. A text may be of any length.
     """
     learn = training_rows() if learn is None else learn
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("learn"))
-    weights = train(X.cut(class_counts(docs.where("learn"))))
-    parts = parts or X.parts_for(docs, part_bytes=PART_BYTES)
-    texts = _parts(docs, parts)
-    totals = X.cut(_totals(texts, parts))
-    by = totals.where("part is null").select(F.posexplode(F.arrays_zip("tokens", "types"))).groupBy("pos").agg(F.sum("col.tokens").alias("n"), F.sum("col.types").alias("v")).collect()
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by:
-        n_class[r.pos], v_class[r.pos] = r.n, r.v
-    shared = docs.sparkSession.sparkContext.broadcast((weights.rows, n_class, v_class))
-    held: dict[str, np.ndarray] = {}
-
-    def finish(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, n_class, v_class = shared.value
-        if "table" not in held:
-            held["table"] = Weights(rows).table()
-        table, h, kind, first, names, name_kind, number = _part_tokens(texts)
-        count = np.zeros(len(names))
-        bucket = _bucket(names, parts)
-        where = dict(X.grouped(bucket))
-        for b, blob in zip(replies["bucket"].to_pylist(), replies["counts"], strict=True):
-            count[where[b]] = X.unseal(blob.as_py())["n"].to_numpy()
-        n, v = n_class.sum(), v_class.sum()
-        base = np.log10((count + 1) / (n + v + 1))[number]
-        inner = np.log10((count + 1) / (n_class[name_kind] + v_class[name_kind] + 1))[number]
-        final, context = histories(h, kind, first)
-        inner[(final == AGAIN) | (final == SKIPPED) | (final == END)] = 0
-        own = held["table"][context, final] + inner
-        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)  # noqa: E731  every text has its end
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    texts = X.cut(_blocks(docs))
+
+    def count(batches):
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+                table = X.unseal(blob.as_py())
+                t = tokens(table["text"])
+                names, number = np.unique(t.word, return_inverse=True)
+                n = np.bincount(number[np.repeat(_learns(table), np.diff(t.first))], minlength=len(names))
+                yield from _table(_send(part, 0, names, n, 1), _SENT).to_batches()
+
+    # blocks hold so many bytes, or the rows of an Arrow batch; an estimate is enough to choose the levels of the exchange
+    parts = int(size) // X.BLOCK_BYTES + int(rows) // 10_000 + 1
+    totals, whole = exchange(texts.mapInArrow(count, _SENT_SQL), parts)
+    n, v = _by_slot(whole)
+    weights = train(texts, n, max(1, -(-int(size) // SHARD_BYTES)), rounds)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, n, v))
+
+    def finish(key, table: pa.Table, replies: pa.Table) -> pa.Table:
+        weights, n, v = shared.value
+        table = X.unseal(table["blob"][0].as_py())
+        t = tokens(table["text"])
+        names, number = np.unique(t.word, return_inverse=True)
+        order = np.argsort(replies["bucket"].to_numpy(), kind="stable")
+        known = np.concatenate([_widen(replies["totals"][int(i)].as_py()) for i in order])
+        base = np.log10((known + 1) / (n.sum() + v.sum() + 1))[number]
+        own = weights.log_probabilities(t) + shares(known, names, n, v)[number]
+        sums = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: E731  every text has its end
         return pa.table({
-            "doc_id": table["doc_id"], "held_out": pa.array(~_learns(table)), "n_tokens": pa.array(np.diff(first), pa.int64()),
-            "n_known": pa.array(sums((count > 0)[number].astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(table), int(n)), pa.int64()),
+            "doc_id": table["doc_id"], "held_out": pa.array(~_learns(table)), "n_tokens": pa.array(np.diff(t.first), pa.int64()),
+            "n_known": pa.array(sums((known > 0)[number].astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(table), int(n.sum())), pa.int64()),
             "base_score": pa.array(sums(base), pa.float64()), "score": pa.array(sums(own), pa.float64()),
         })
 
-    replies = totals.where("part is not null").select("part", "bucket", "counts")
-    return texts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(lambda k, t, r: finish(k, t, r), RESULT)
+    return texts.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(lambda k, t, r: finish(k, t, r), RESULT)
