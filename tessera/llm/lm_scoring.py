@@ -3,21 +3,25 @@
 A token's probability is that of its class, given what precedes it, times that of its slot among
 the class's, given class and what precedes it, times its share of the slot. Classes are hashed
 endings of words and the end of a text; slots are hashed words. Both softmaxes are maximum-entropy
-models over n-gram and skip features: the word before, the one before that, the two together, and
-endings of the words before, each hashed to a row of weights. A token's share of its slot is its
-add-one relative frequency there; a slot holds few words, so the share is that of hash collisions.
-
-Training is distributed: each shard of the corpus takes gradient steps over all its tokens from the
-shared weights, and the shards' changes are averaged row by row, weighted by how often a shard met
-the row. Counts of a vocabulary that grows with the corpus are gathered by an exchange over the
-digits of the tokens' hashes: blocks send their distinct tokens with counts to buckets, groups of
-blocks are merged before they are sent on, and totals return the same way.
+models over n-gram and skip features of the two words before: each word, their classes, the two
+together, each with a row of weights, hashed where there are many. A frequent word stands for
+itself in features, any other for a bucket of endings. A token's share of its slot is its add-one
+relative frequency there; a slot holds few words, so the share is that of hash collisions.
+
+Training is distributed: each shard of the corpus counts what follows each context over all its
+tokens, takes gradient steps over its distinct contexts from the shared weights, and the shards'
+changes are averaged row by row, weighted by how many tokens of a shard met the row. Counts of a
+vocabulary that grows with the corpus are gathered by an exchange over the digits of the tokens'
+hashes: blocks send their distinct tokens with counts to buckets, groups of blocks are merged
+before they are sent on, and totals return the same way. Scoring computes each distinct context of
+a block once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,20 @@ from . import text as T
 
 #: Classes (the end of a text is class 0), and slots of a class.
 CLASSES, SLOTS = 64, 64
-#: Rows of weights of the class softmax, and of the slot softmax, whose first CLASSES rows are the classes' own.
-CLASS_ROWS, SLOT_ROWS = 1 << 13, 1 << 15
+#: Buckets of endings in a class, by which rarer words are told apart in features; words that stand for themselves.
+FINER, FREQUENT = 8, 512
+ENDINGS = CLASSES * FINER
+SYMBOLS = ENDINGS + FREQUENT
+#: Groups of classes, by which a slot's features tell the word before the last.
+SKIPPED = 8
+#: Rows of weights of the class softmax and of the slot softmax; those beyond the features that have their own are hashed.
+CLASS_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
 #: Bytes of a word's end that decide its class.
 ENDING = 3
-#: Passes over the training texts, the size of a step, tokens of a step, and bytes of text of a shard.
-ROUNDS, STEP, BATCH, SHARD_BYTES = 1, 1.0, 4096, 16 << 20
+#: Rounds of training, passes over a shard's contexts in a round, the size of a step, its contexts, and bytes of text of a shard.
+ROUNDS, PASSES, STEP, BATCH, SHARD_BYTES = 1, 2, 1.0, 4096, 32 << 20
+#: Bytes of text of which a shard counts contexts at a time.
+COUNTED_BYTES = 2 << 20
 #: Rows of weights in a row of the table of changes, and shards that are averaged at a time.
 ROWS_SENT, SHARDS_AVERAGED = 1024, 256
 #: Blocks that are merged at a time in the exchange of counts, and buckets of a digit of a hash: 2^DIGIT.
@@ -50,19 +62,17 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 @dataclass
 class Tokens:
-    """The tokens of some texts: the hash of each, with its class in the lowest bits, the hash of its ending, its position in
+    """The tokens of some texts: the hash of each, with its class in the lowest bits, its bucket of endings, its position in
     its text, and the first token of each text (one more than texts)."""
 
     word: np.ndarray
-    ending: np.ndarray
+    bucket: np.ndarray
     since: np.ndarray
     first: np.ndarray
 
-    def classes(self) -> np.ndarray:
-        return (self.word & _CLASS_BITS).astype(np.int32)
 
-    def slots(self) -> np.ndarray:
-        return _slot(self.word)
+def _class(word: np.ndarray) -> np.ndarray:
+    return (word & _CLASS_BITS).astype(np.int32)
 
 
 def _slot(word: np.ndarray) -> np.ndarray:
@@ -73,8 +83,7 @@ def _slot(word: np.ndarray) -> np.ndarray:
 def tokens(column) -> Tokens:
     """The tokens of each text: its words, and an end."""
     data, at = T.flat(column)
-    n_texts = len(at) - 1
-    words, endings, counts = [], [], np.zeros(n_texts, np.int64)
+    words, endings, counts = [], [], np.zeros(len(at) - 1, np.int64)
     for i, j in T.slices(at):
         low = T.LOWER[data[at[i] : at[j]]]
         starts, ends, first = T.spans(low, at[i : j + 1] - at[i], T.SPACE)
@@ -83,40 +92,19 @@ def tokens(column) -> Tokens:
         counts[i:j] = np.diff(first)
     first = np.r_[0, np.cumsum(counts + 1)]
     total = int(first[-1])
-    word, ending = np.full(total, _END_HASH & ~_CLASS_BITS), np.full(total, _END_HASH)
+    word, bucket = np.full(total, _END_HASH & ~_CLASS_BITS), np.zeros(total, np.uint16)
     inside = np.ones(total, bool)
     inside[first[1:] - 1] = False
     if words:
-        ending[inside] = np.concatenate(endings)
-        kind = np.uint64(1) + T.mix(ending[inside]) % np.uint64(CLASSES - 1)
-        word[inside] = np.concatenate(words) & ~_CLASS_BITS | kind
-    return Tokens(word, ending, np.arange(total) - np.repeat(first[:-1], np.diff(first)), first)
+        # buckets of class 0 are the end's alone
+        own = np.uint64(FINER) + T.mix(np.concatenate(endings)) % np.uint64(ENDINGS - FINER)
+        bucket[inside] = own
+        word[inside] = np.concatenate(words) & ~_CLASS_BITS | own // np.uint64(FINER)
+    return Tokens(word, bucket, np.arange(total) - np.repeat(first[:-1], np.diff(first)), first)
 
 
-def features(t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the tokens from a to b: the rows of weights of their classes, and of their slots."""
-
-    def before(x: np.ndarray, k: int) -> np.ndarray:
-        out = np.full(b - a, _END_HASH)
-        lead = max(0, k - a)
-        out[lead:] = x[a + lead - k : b - k]
-        out[t.since[a:b] < k] = _END_HASH
-        return out
-
-    w1, w2 = before(t.word, 1), before(t.word, 2)
-    e1, e2, e3 = (before(t.ending, k) for k in (1, 2, 3))
-    own = t.classes()[a:b] if b - a == len(t.word) else (t.word[a:b] & _CLASS_BITS).astype(np.int32)
-    salt = own.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-    of_class = [w1, w2, w1 * np.uint64(3) + w2 * np.uint64(7), e1, e2, e3]
-    of_slot = [w1 + salt, w2 + salt, e1 + salt, e2 + salt]
-    rows = np.zeros((b - a, 1 + len(of_class)), np.uint16)
-    inner = np.empty((b - a, 1 + len(of_slot)), np.uint16)
-    inner[:, 0] = own
-    for k, x in enumerate(of_class, 1):
-        rows[:, k] = np.uint64(1) + T.mix(x + np.uint64(k * 0x9E3779B1)) % np.uint64(CLASS_ROWS - 1)
-    for k, x in enumerate(of_slot, 1):
-        inner[:, k] = np.uint64(CLASSES) + T.mix(x + np.uint64(k * 0x85EBCA6B)) % np.uint64(SLOT_ROWS - CLASSES)
-    return rows, inner
+def _hashed(x: np.ndarray, salt: int, low: int, high: int) -> np.ndarray:
+    return low + (T.mix(x.astype(np.uint64) + np.uint64(salt)) % np.uint64(high - low)).astype(np.int64)
 
 
 # The model
@@ -124,34 +112,76 @@ def features(t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Weights:
-    """Rows of weights: a class's score is the sum of its weights in the rows of a token's features; likewise a slot's."""
+    """Rows of weights: a class's score is the sum of its weights in the rows of a context's features; likewise a slot's."""
 
     classes: np.ndarray
     slots: np.ndarray
+    #: Hashes of the words that stand for themselves, in order.
+    frequent: np.ndarray
 
     @staticmethod
-    def start(counts: np.ndarray) -> Weights:
+    def start(counts: np.ndarray, frequent: np.ndarray) -> Weights:
         """Weights that give every class and slot its share of all tokens. counts: classes x slots."""
-        out = Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32))
+        out = Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32), np.sort(frequent))
         out.classes[0] = np.log(counts.sum(1) + 1.0)
         out.slots[:CLASSES] = np.log(counts + 1.0)
         return out
 
+    @cached_property
+    def coarse(self) -> np.ndarray:
+        """The class of each symbol."""
+        return np.r_[np.arange(ENDINGS) // FINER, _class(self.frequent), np.zeros(FREQUENT - len(self.frequent), np.int64)].astype(np.int64)
+
+    def contexts(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The context of each token's class, and that of its slot, as numbers."""
+        symbol = t.bucket.astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, t.word), len(self.frequent) - 1)
+            symbol = np.where(self.frequent[at] == t.word, ENDINGS + at, symbol)
+        one, two = np.zeros_like(symbol), np.zeros_like(symbol)
+        one[1:], two[2:] = symbol[:-1], symbol[:-2]
+        one[t.since < 1], two[t.since < 2] = 0, 0
+        skipped = self.coarse[two] * SKIPPED // CLASSES
+        return two * SYMBOLS + one, (skipped * SYMBOLS + one) * CLASSES + _class(t.word)
+
+    def class_rows(self, context: np.ndarray) -> np.ndarray:
+        """Rows of weights: all, the word before, the one before that, their classes, the two together."""
+        one, two = context % SYMBOLS, context // SYMBOLS
+        own = 1 + 2 * SYMBOLS + CLASSES * CLASSES
+        rows = [np.zeros_like(one), 1 + one, 1 + SYMBOLS + two, 1 + 2 * SYMBOLS + self.coarse[one] * CLASSES + self.coarse[two], _hashed(context, 3, own, CLASS_ROWS)]
+        return np.stack(rows, 1).astype(np.uint16)
+
+    def slot_rows(self, context: np.ndarray) -> np.ndarray:
+        """Rows of weights: the class, with the class before, with a group of classes before that, with the word before."""
+        kind, one, skipped = context % CLASSES, context // CLASSES % SYMBOLS, context // CLASSES // SYMBOLS
+        own = CLASSES * (1 + CLASSES + SKIPPED)
+        rows = [kind, CLASSES + kind * CLASSES + self.coarse[one], CLASSES * (1 + CLASSES) + kind * SKIPPED + skipped, _hashed(one * CLASSES + kind, 7, own, SLOT_ROWS)]
+        return np.stack(rows, 1).astype(np.uint16)
+
+    def parts(self, t: Tokens):
+        """For classes and slots: the weights, the rows of a context, each token's context, and what follows it."""
+        of_class, of_slot = self.contexts(t)
+        return (self.classes, self.class_rows, of_class, _class(t.word)), (self.slots, self.slot_rows, of_slot, _slot(t.word))
+
     def log_probabilities(self, t: Tokens) -> np.ndarray:
-        """log10 P(class and slot | what precedes) of each token."""
+        """log10 P(class and slot | what precedes) of each token; each distinct context is computed once."""
         out = np.zeros(len(t.word))
-        for a in range(0, len(out), 1 << 13):
-            b = min(len(out), a + (1 << 13))
-            rows, inner = features(t, a, b)
-            word = t.word[a:b]
-            for w, f, target in ((self.classes, rows, (word & _CLASS_BITS).astype(np.int32)), (self.slots, inner, _slot(word))):
-                z = _scores(w, f)
-                out[a:b] += z[np.arange(b - a), target] - np.log(np.exp(z).sum(1))
+        for weights, rows, context, target in self.parts(t):
+            order = np.argsort(context, kind="stable")
+            ordered = context[order]
+            begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+            cuts = np.r_[begin, len(ordered)]
+            for i in range(0, len(begin), 1 << 13):
+                j = min(len(begin), i + (1 << 13))
+                z = scores(weights, rows(ordered[begin[i:j]]))
+                z -= np.log(np.exp(z).sum(1, keepdims=True))
+                which = order[cuts[i] : cuts[j]]
+                out[which] += z[np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1])), target[which]]
         return out / np.log(10)
 
 
-def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows' weights, less the greatest of each token."""
+def scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows' weights, less the greatest of each context."""
     z = weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
@@ -159,11 +189,14 @@ def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarray, size: float) -> None:
-    """One step down the gradient of the log loss of these tokens; a row's steps shrink with its gradients so far (AdaGrad)."""
-    p = np.exp(_scores(weights, rows))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
+def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, followed: np.ndarray, size: float) -> None:
+    """One step down the gradient of the log loss of contexts; a row's steps shrink with its gradients so far (AdaGrad).
+
+    followed: contexts x outcomes, how often each outcome followed.
+    """
+    p = np.exp(scores(weights, rows))
+    p *= (followed.sum(1) / p.sum(1))[:, None]
+    p -= followed
     flat, k = rows.ravel(), rows.shape[1]
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
@@ -172,35 +205,60 @@ def descend(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.
     # sums along the rows of the transposed gradient: several times as fast as along its columns
     g = np.add.reduceat(np.take(np.ascontiguousarray(p.T), order // k, axis=1), begin, axis=1).T
     squares[which] += np.einsum("ij,ij->i", g, g)
-    met[which] += np.diff(np.r_[begin, len(flat)])
     weights[which] -= (size / np.sqrt(squares[which]))[:, None] * g
 
 
 class Learner:
-    """A shard's own copy of the weights, which takes steps over texts."""
+    """What a shard counts, and its own copy of the weights."""
 
     def __init__(self, start: Weights, size: float = STEP):
         self.start, self.size = start, size
-        self.now = [start.classes.copy(), start.slots.copy()]
-        self.squares = [np.ones(len(w), np.float32) for w in self.now]
-        self.met = [np.zeros(len(w)) for w in self.now]
-
-    def learn(self, t: Tokens) -> None:
-        for a in range(0, len(t.word), BATCH):
-            b = min(len(t.word), a + BATCH)
-            word = t.word[a:b]
-            targets = (word & _CLASS_BITS).astype(np.int32), _slot(word)
-            for w, s, m, f, y in zip(self.now, self.squares, self.met, features(t, a, b), targets, strict=True):
-                descend(w, s, m, f, y, self.size)
-
-    def changes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Numbered pieces of the weights: how often each row was met, and its change."""
-        k = 0
-        for now, start, met in zip(self.now, (self.start.classes, self.start.slots), self.met, strict=True):
+        #: For classes and slots, pieces of (context and outcome as one number, count); the first is in order.
+        self.cells: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def count(self, t: Tokens) -> None:
+        """Adds the tokens: how often each class follows each context, and each slot."""
+        for k, (weights, _, context, target) in enumerate(self.start.parts(t)):
+            held = self.cells[k]
+            held.append(np.unique((context * weights.shape[1] + target).astype(np.int32), return_counts=True))
+            # merged when what came since is as much as what is held: few merges, and memory for the distinct cells
+            if len(held) > 1 and sum(len(c) for c, _ in held[1:]) > max(1 << 18, len(held[0][0])):
+                self.cells[k] = [self._merged(held)]
+
+    @staticmethod
+    def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        cells, n = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        begin = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        return cells[begin], np.add.reduceat(n[order], begin)
+
+    def changes(self, passes: int = PASSES, seed: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Takes steps over the distinct contexts; then numbered pieces of the weights: tokens that met each row, and its change."""
+        number = 0
+        for k, (weights, rows) in enumerate(((self.start.classes, self.start.class_rows), (self.start.slots, self.start.slot_rows))):
+            cell, n = self._merged(self.cells[k])
+            self.cells[k] = []
+            context, begin = np.unique(cell // weights.shape[1], return_index=True)
+            context = context.astype(np.int64)
+            cuts, target = np.r_[begin, len(cell)], cell % weights.shape[1]
+            now, squares, met = weights.copy(), np.ones(len(weights), np.float32), np.zeros(len(weights))
+            total = np.add.reduceat(n, begin)
+            rng = np.random.default_rng(seed)
+            for done in range(passes):
+                # batches of neighbouring contexts in an order of their own: neighbours share rows, so their sums are cheap
+                for i in rng.permutation(-(-len(context) // BATCH)) * BATCH:
+                    j = min(len(context), i + BATCH)
+                    f, some = rows(context[i:j]), slice(cuts[i], cuts[j])
+                    followed = np.zeros((j - i, weights.shape[1]), np.float32)
+                    followed[np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1])), target[some]] = n[some]
+                    descend(now, squares, f, followed, self.size)
+                    if not done:
+                        met += np.bincount(f.ravel(), np.repeat(total[i:j], f.shape[1]), len(met))
             for i in range(0, len(now), ROWS_SENT):
                 part = slice(i, i + ROWS_SENT)
-                yield k, met[part], now[part] - start[part]
-                k += 1
+                yield number, met[part], now[part] - weights[part]
+                number += 1
 
 
 _CHANGE = pa.schema({"shard": pa.int64(), "k": pa.int32(), "met": pa.binary(), "change": pa.binary()})
@@ -243,12 +301,13 @@ def _averaged(sent: DataFrame, shards: int) -> DataFrame:
     return sent
 
 
-def train(texts: DataFrame, counts: np.ndarray, shards: int, rounds: int = ROUNDS, size: float = STEP) -> Weights:
+def train(texts: DataFrame, counts: np.ndarray, frequent: np.ndarray, shards: int, rounds: int = ROUNDS, size: float = STEP) -> Weights:
     """Weights fitted to the rows that learn, of sealed blocks of texts; counts: of all their tokens, by class and slot.
 
-    A shard holds one copy of the weights and one block; the driver gets one table of changes, of fixed size, a round.
+    A shard holds its contexts with counts, one copy of the weights and one block; the driver gets one table of changes, of
+    fixed size, a round.
     """
-    weights = Weights.start(counts)
+    weights = Weights.start(counts, frequent)
     if not counts.any():
         return weights
     spark = texts.sparkSession
@@ -260,9 +319,10 @@ def train(texts: DataFrame, counts: np.ndarray, shards: int, rounds: int = ROUND
             for batch in batches:
                 for blob in batch.column("blob"):
                     table = X.unseal(blob.as_py())
-                    learner.learn(tokens(table["text"].filter(table["learn"])))
+                    for some in T.blocks(table.select(["text"]).filter(table["learn"]).to_batches(), "text", COUNTED_BYTES):
+                        learner.count(tokens(some.column("text")))
             shard = TaskContext.get().partitionId()
-            for k, met, change in learner.changes():
+            for k, met, change in learner.changes() if learner.cells[0] else ():
                 if met.any():
                     yield _change(shard, k, met, change)
 
@@ -396,6 +456,21 @@ def _by_slot(whole: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0].reshape(CLASSES, SLOTS), out[1].reshape(CLASSES, SLOTS)
 
 
+def _frequent(whole: DataFrame) -> np.ndarray:
+    """The hashes of the FREQUENT words that occur most, the least hashes on ties."""
+
+    def emit(batches):
+        for batch in batches:
+            for names, totals in zip(batch.column("names"), batch.column("totals"), strict=True):
+                word, n = np.frombuffer(names.as_py(), np.uint64), _widen(totals.as_py())
+                top = np.lexsort((word, -n))[:FREQUENT]
+                top = top[n[top] > 0]
+                yield pa.record_batch({"word": pa.array(word[top].view(np.int64)), "n": pa.array(n[top])})
+
+    found = whole.mapInArrow(emit, "word long, n long").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    return np.array([r.word for r in found], np.int64).view(np.uint64)
+
+
 # Scoring
 
 
@@ -440,7 +515,7 @@ def score(docs: DataFrame, learn=None, rounds: int = ROUNDS) -> DataFrame:
     parts = int(size) // X.BLOCK_BYTES + int(rows) // 10_000 + 1
     totals, whole = exchange(texts.mapInArrow(count, _SENT_SQL), parts)
     n, v = _by_slot(whole)
-    weights = train(texts, n, max(1, -(-int(size) // SHARD_BYTES)), rounds)
+    weights = train(texts, n, _frequent(whole), max(1, -(-int(size) // SHARD_BYTES)), rounds)
     shared = docs.sparkSession.sparkContext.broadcast((weights, n, v))
 
     def finish(key, table: pa.Table, replies: pa.Table) -> pa.Table:

@@ -56,19 +56,19 @@ def test_nothing_to_learn_from(spark):
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in out)
 
 
-def random_weights(seed=3):
+def random_weights(seed=3, frequent=()):
     rng = np.random.default_rng(seed)
-    return L.Weights(rng.normal(size=(L.CLASS_ROWS, L.CLASSES)).astype(np.float32), rng.normal(size=(L.SLOT_ROWS, L.SLOTS)).astype(np.float32))
+    return L.Weights(rng.normal(size=(L.CLASS_ROWS, L.CLASSES)).astype(np.float32), rng.normal(size=(L.SLOT_ROWS, L.SLOTS)).astype(np.float32), np.sort(np.array(frequent, np.uint64)))
 
 
 def test_probabilities_sum_to_one():
     """Over all classes and slots after some context, and over a slot's tokens and the unknown one."""
     n = L.CLASSES * L.SLOTS
     cell = np.arange(n, dtype=np.uint64)
-    word = np.tile(np.array([640, 1280, 0], np.uint64), n)
+    word = np.tile(np.array([641, 1282, 0], np.uint64), n)
     word[2::3] = (cell // L.CLASSES) << np.uint64(58) | cell % L.CLASSES
-    t = L.Tokens(word, np.tile(np.array([5, 6, 7], np.uint64), n), np.tile(np.arange(3), n), np.arange(0, 3 * n + 1, 3))
-    assert abs((10.0 ** random_weights().log_probabilities(t)[2::3]).sum() - 1) < 1e-4
+    t = L.Tokens(word, np.tile(np.array([8, 19, 0], np.uint16), n), np.tile(np.arange(3), n), np.arange(0, 3 * n + 1, 3))
+    assert abs((10.0 ** random_weights(frequent=[1282]).log_probabilities(t)[2::3]).sum() - 1) < 1e-4
     count = np.array([5, 1, 9])
     total, types = np.zeros((L.CLASSES, L.SLOTS), int), np.zeros((L.CLASSES, L.SLOTS), int)
     word = np.array([2, 2, 2], np.uint64) | np.uint64(1) << np.uint64(58)
@@ -86,62 +86,89 @@ def mixed(x: int) -> int:
     return int(L.T.mix(np.array([x % 2**64], np.uint64))[0])
 
 
+def plain_word(x: str | None) -> tuple[int, int]:
+    """The hash of a word, or of the end, and its bucket of endings."""
+    if x is None:
+        return int(L._END_HASH) // 64 * 64, 0
+    bucket = 8 + mixed(one_hash(x.encode()[-3:])) % (64 * 8 - 8)
+    return one_hash(x.encode()) // 64 * 64 + bucket // 8, bucket
+
+
 def plain_score(w, texts, counts, total, types):
     """The model's formula, a token at a time."""
-    end = int(L._END_HASH)
+    frequent = {int(x): 512 + i for i, x in enumerate(w.frequent)}
+    kind = {i: i // 8 for i in range(512)} | {s: x % 64 for x, s in frequent.items()}
     out = []
     for text in texts:
-        seen, sum_ = [], 0.0
-        for x in [*[x.encode() for x in split(text)[:-1]], None]:
-            ending = end if x is None else one_hash(x[-3:])
-            cls = 0 if x is None else 1 + mixed(ending) % (L.CLASSES - 1)
-            word = (end if x is None else one_hash(x)) // L.CLASSES * L.CLASSES + cls
-            slot = word >> 58
-            back = lambda k, i: seen[-k][i] if len(seen) >= k else end  # noqa: E731, B023
-            of_class = [back(1, 0), back(2, 0), back(1, 0) * 3 + back(2, 0) * 7, back(1, 1), back(2, 1), back(3, 1)]
-            z = w.classes[0].astype(float) + sum(w.classes[1 + mixed(f + k * 0x9E3779B1) % (L.CLASS_ROWS - 1)] for k, f in enumerate(of_class, 1))
-            of_slot = [f + cls * 0x632BE59BD9B4E019 for f in (back(1, 0), back(2, 0), back(1, 1), back(2, 1))]
-            y = w.slots[cls].astype(float) + sum(w.slots[L.CLASSES + mixed(f + k * 0x85EBCA6B) % (L.SLOT_ROWS - L.CLASSES)] for k, f in enumerate(of_slot, 1))
+        one = two = 0
+        sum_ = 0.0
+        for x in [*split(text)[:-1], None]:
+            word, bucket = plain_word(x)
+            cls, slot = word % 64, word >> 58
+            z = sum(w.classes[r].astype(float) for r in (0, 1 + one, 1025 + two, 2049 + kind[one] * 64 + kind[two], 6145 + mixed(two * 1024 + one + 3) % (L.CLASS_ROWS - 6145)))
+            y = sum(w.slots[r].astype(float) for r in (cls, 64 + cls * 64 + kind[one], 4160 + cls * 8 + kind[two] // 8, 4672 + mixed(one * 64 + cls + 7) % (L.SLOT_ROWS - 4672)))
             sum_ += (z[cls] - math.log(np.exp(z).sum()) + y[slot] - math.log(np.exp(y).sum())) / math.log(10)
             sum_ += math.log10((counts[x] + 1) / (total[cls, slot] + types[cls, slot] + 1))
-            seen.append((word, ending))
+            one, two = frequent.get(word, bucket), one
         out.append(sum_)
     return out
 
 
 def test_score_equals_a_plain_scorer_with_the_same_weights(spark, monkeypatch):
-    w = random_weights()
-    monkeypatch.setattr(L, "train", lambda *a: w)
+    made = []
+    monkeypatch.setattr(L, "train", lambda texts, n, frequent, *a: made.append(random_weights(frequent=frequent)) or made[-1])
     data = [(i, t) for i, t in rows(7, 12) if i is not None and len(t or "") < 4000]
     learnt = [t for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = Counter(None if x == 0 else x.encode() for t in learnt for x in split(t))
+    counts = Counter(None if x == 0 else x for t in learnt for x in split(t))
     total, types = np.zeros((L.CLASSES, L.SLOTS)), np.zeros((L.CLASSES, L.SLOTS))
     for x, n in counts.items():
-        cls = 0 if x is None else 1 + mixed(one_hash(x[-3:])) % (L.CLASSES - 1)
-        slot = (int(L._END_HASH) if x is None else one_hash(x)) >> 58
-        total[cls, slot] += n
-        types[cls, slot] += 1
-    want = plain_score(w, [t for _, t in data], counts, total, types)
+        word, _ = plain_word(x)
+        total[word % 64, word >> 58] += n
+        types[word % 64, word >> 58] += 1
     got = L.score(docs(spark, data)).collect()
-    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-4)
+    assert set(made[0].frequent.tolist()) == {plain_word(x)[0] for x, _ in sorted(counts.items(), key=lambda c: (-c[1], np.uint64(plain_word(c[0])[0]).view(np.int64)))[:512]}
+    assert np.allclose(sorted(r.score for r in got), sorted(plain_score(made[0], [t for _, t in data], counts, total, types)), rtol=1e-4)
+
+
+def test_a_shard_counts_every_token_in_its_context():
+    w = random_weights(frequent=[plain_word("a")[0]])
+    learner = L.Learner(w)
+    texts = ["a b a c a b", "", "b a", "a b"]
+    learner.count(L.tokens(pa.array(texts[:2])))
+    learner.count(L.tokens(pa.array(texts[2:])))
+    want = [Counter(), Counter()]
+    for text in texts:
+        one = two = 0
+        for x in [*split(text)[:-1], None]:
+            word, bucket = plain_word(x)
+            want[0][(two * 1024 + one) * 64 + word % 64] += 1
+            group = (two // 8 if two < 512 else plain_word("a")[0] % 64) // 8
+            want[1][((group * 1024 + one) * 64 + word % 64) * 64 + (word >> 58)] += 1
+            one, two = (512 if x == "a" else bucket), one
+    for held, expected in zip(learner.cells, want, strict=True):
+        got = Counter()
+        for cells, n in held:
+            got.update(dict(zip(cells.tolist(), n.tolist(), strict=True)))
+        assert got == expected
 
 
 def test_steps_descend_the_gradient():
     """The change of one step of one batch is the gradient by finite differences, over the root of its squares."""
-    t = L.tokens(pa.array(["a b a c a b", "b a"]))
-    f, _ = L.features(t, 0, len(t.word))
-    y = t.classes()
-    w = np.random.default_rng(1).normal(size=(L.CLASS_ROWS, L.CLASSES)).astype(np.float64)
+    w = random_weights()
+    rng = np.random.default_rng(1)
+    f = w.class_rows(rng.integers(0, 40, 12))
+    followed = rng.integers(0, 4, (12, L.CLASSES)).astype(float)
+    weights = w.classes.astype(np.float64)
 
-    def loss(w):
-        z = L._scores(w, f)
-        return -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))).sum()
+    def loss(x):
+        z = L.scores(x, f)
+        return -(followed * (z - np.log(np.exp(z).sum(1, keepdims=True)))).sum()
 
     for row in (0, int(f[1, 1])):
-        grad = np.array([(loss(w + d) - loss(w - d)) / 2e-5 for c in range(L.CLASSES) for d in [np.eye(1, w.size, row * L.CLASSES + c).reshape(w.shape) * 1e-5]])
-        after, squares = w.copy(), np.ones(len(w))
-        L.descend(after, squares, np.zeros(len(w)), f, y, 1.0)
-        assert np.allclose(w[row] - after[row], grad / np.sqrt(1 + (grad**2).sum()), atol=1e-5)
+        grad = np.array([(loss(weights + d) - loss(weights - d)) / 2e-5 for c in range(L.CLASSES) for d in [np.eye(1, weights.size, row * L.CLASSES + c).reshape(weights.shape) * 1e-5]])
+        after = weights.copy()
+        L.descend(after, np.ones(len(weights)), f, followed, 1.0)
+        assert np.allclose(weights[row] - after[row], grad / np.sqrt(1 + (grad**2).sum()), atol=1e-5)
 
 
 def test_shards_changes_are_averaged_by_how_often_rows_were_met(spark, monkeypatch):
