@@ -45,11 +45,13 @@ CLASS_ROWS, SLOT_ROWS = 1 << 14, 1 << 15
 #: Bytes of a word's end that decide its class.
 ENDING = 3
 #: Rounds of training, passes over a shard's contexts in a round, the size of a step, its contexts, and bytes of text of a shard.
-ROUNDS, PASSES, STEP, BATCH, SHARD_BYTES = 1, 2, 1.0, 4096, 32 << 20
+ROUNDS, PASSES, STEP, BATCH, SHARD_BYTES = 1, 2, 1.0, 4096, 24 << 20
 #: Bytes of text of which a shard counts contexts at a time.
 COUNTED_BYTES = 2 << 20
 #: Rows of weights in a row of the table of changes, and shards that are averaged at a time.
 ROWS_SENT, SHARDS_AVERAGED = 1024, 256
+#: Bytes of text of a block, which is counted and scored as a whole.
+BLOCK_BYTES = 4 << 20
 #: Blocks that are merged at a time in the exchange of counts, and buckets of a digit of a hash: 2^DIGIT.
 MERGED, DIGIT = 256, 8
 _END_HASH = np.uint64(0x9D2C5680CA3F1B07)
@@ -342,7 +344,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     def emit(batches):
         part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for block in T.blocks(batches, "text", X.BLOCK_BYTES):
+        for block in T.blocks(batches, "text", BLOCK_BYTES):
             table = pa.table({"doc_id": block.column("doc_id"), "text": block.column("text").cast(pa.large_string()), "learn": block.column("learn")})
             yield pa.record_batch({"part": pa.array([part], pa.int64()), "blob": pa.array([X.seal(table)], pa.binary())})
             part += 1
@@ -397,6 +399,11 @@ def _replies(table: pa.Table, names: list[np.ndarray], totals: np.ndarray, numbe
     return out
 
 
+def tasks(blocks: int) -> int:
+    """Tasks among which what belongs to so many blocks is dealt, so that each has a few blocks' share at any size."""
+    return max(1, -(-blocks // 4))
+
+
 def exchange(sent: DataFrame, parts: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
     """Totals of the counts that parts send: rows (part, bucket, totals), in the order of the names sent; and the rows (bucket,
     names, totals) of all names, of which each is in one.
@@ -413,7 +420,7 @@ def exchange(sent: DataFrame, parts: int, level: int = 1) -> tuple[DataFrame, Da
             rows.append((None, table["bucket"][0].as_py(), _narrow(counts), distinct.tobytes()))
             return _table(rows, _TOTAL.append(pa.field("names", pa.binary())))
 
-        out = X.cut(sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), f"{_TOTAL_SQL}, names binary"))
+        out = X.cut(sent.repartition(tasks(parts), "bucket").groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), f"{_TOTAL_SQL}, names binary"))
         return out.where("part is not null").drop("names"), out.where("part is null").select("bucket", "names", "totals")
     groups = -(-parts // (MERGED // 2))
     grouped = sent.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)))
@@ -428,10 +435,11 @@ def exchange(sent: DataFrame, parts: int, level: int = 1) -> tuple[DataFrame, Da
         back = [_widen(totals["totals"][int(i)].as_py()) for i in order]
         return _table(_replies(table, names, np.concatenate(back), number), _TOTAL)
 
+    grouped = grouped.repartition(tasks(parts), "group", "bucket")
     merged = grouped.groupBy("group", "bucket").applyInArrow(lambda k, t: merge(k, t), _SENT_SQL)
     back, whole = exchange(X.cut(merged), groups, level + 1)
     returned = back.select(F.col("part").alias("group"), F.shiftright("bucket", DIGIT).alias("of"), "bucket", "totals")
-    out = grouped.groupBy("group", "bucket").cogroup(returned.groupBy("group", "of")).applyInArrow(lambda k, t, r: give(k, t, r), _TOTAL_SQL)
+    out = grouped.groupBy("group", "bucket").cogroup(returned.repartition(tasks(parts), "group", "of").groupBy("group", "of")).applyInArrow(lambda k, t, r: give(k, t, r), _TOTAL_SQL)
     return X.cut(out), whole
 
 
@@ -512,7 +520,7 @@ def score(docs: DataFrame, learn=None, rounds: int = ROUNDS) -> DataFrame:
                 yield from _table(_send(part, 0, names, n, 1), _SENT).to_batches()
 
     # blocks hold so many bytes, or the rows of an Arrow batch; an estimate is enough to choose the levels of the exchange
-    parts = int(size) // X.BLOCK_BYTES + int(rows) // 10_000 + 1
+    parts = int(size) // BLOCK_BYTES + int(rows) // 10_000 + 1
     totals, whole = exchange(texts.mapInArrow(count, _SENT_SQL), parts)
     n, v = _by_slot(whole)
     weights = train(texts, n, _frequent(whole), max(1, -(-int(size) // SHARD_BYTES)), rounds)
@@ -534,4 +542,5 @@ def score(docs: DataFrame, learn=None, rounds: int = ROUNDS) -> DataFrame:
             "base_score": pa.array(sums(base), pa.float64()), "score": pa.array(sums(own), pa.float64()),
         })
 
+    texts, totals = (x.repartition(tasks(parts), "part") for x in (texts, totals))
     return texts.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(lambda k, t, r: finish(k, t, r), RESULT)

@@ -39,7 +39,7 @@ def test_base_equals_brute_force(spark):
 def test_counts_by_several_levels_of_the_exchange(spark, monkeypatch):
     """Groups of two blocks merge, and merge again, before totals are known; every block is one document."""
     monkeypatch.setattr(L, "MERGED", 4)
-    monkeypatch.setattr(L.X, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 100)
     levels = []
     inner = L.exchange
     monkeypatch.setattr(L, "exchange", lambda sent, parts, level=1: levels.append(level) or inner(sent, parts, level))
