@@ -3,8 +3,12 @@
 A page is a sequence of words and tags. A word scores by the elements it is in: each tag and each
 word of a class, id or role has a weight, the log odds with which it holds words of the main text
 in labelled pages. Tags between words cost a little. One linear scan finds the contiguous region
-with the greatest sum; it names the element that holds the article, and the blocks of that element
-whose words score above zero are the text.
+with the greatest sum. Words of notices or adverts inside an article score below zero and may cut
+its heading or its end off the region, so the region is completed to the smallest element that
+holds it; the text is the blocks of that element whose words score above zero.
+
+Reading a page takes time in proportion to its length, however its elements nest: open elements are
+a list with the positions of each tag in it, and scores are summed from the top down.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is not text of the page.
@@ -43,17 +49,23 @@ LINKED = "a:"
 MOST = 3.0
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
+    """An element. Its elements are those that begin from `begin` on and before `end`."""
+
     tag: str
     parent: Node | None
     features: tuple[str, ...] = ()
     hidden: bool = False
-    depth: int = 0
-    score: float | None = None
+    begin: int = 0
+    end: int = 1 << 62
+    score: float = 0.0
 
+    def holds(self, other: Node) -> bool:
+        return self.begin <= other.begin < self.end
 
-@dataclass
+
+@dataclass(slots=True)
 class Block:
     node: Node
     text: str
@@ -63,61 +75,132 @@ class Block:
     linked: bool = False  # nearly all of it is links
 
 
-def _node(tag: str, attributes: str, parent: Node | None) -> Node:
-    features, hidden = ["t:" + tag], parent.hidden if parent else False
-    if attributes and "=" in attributes or "hidden" in attributes:
+def _features(tag: str, attributes: str, hidden: bool) -> tuple[tuple[str, ...], bool]:
+    """The features of an element's tag and attributes, and whether it is hidden."""
+    features = ["t:" + tag]
+    if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value == "true" and tag != "a":
                 hidden = True
             elif name in ("class", "id", "role"):
                 features += ["c:" + w.lower() for w in _PART.findall(value)]
-    return Node(tag, parent, tuple(dict.fromkeys(features)), hidden, parent.depth + 1 if parent else 0)
+    return tuple(dict.fromkeys(features)), hidden
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks of text of a page, in order. Elements `x-main` mark main text in labelled pages."""
+def next_tag(page: str, at: int) -> tuple[int, int, str | None, str] | None:
+    """Where the next tag or comment begins and ends, its name (with / if it closes; null for comments) and attributes.
+
+    A tag ends at the first > outside quotes; a quote that is never closed is a character like others. Markup that never ends
+    is left out, as is all that follows it.
+    """
+    n = len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, n if end < 0 else end + 3, None, ""
+        if name := _NAME.match(page, at + 1):
+            found = _REST.match(page, name.end())
+            end = found.end() if found else _tag_end(page, name.end())
+            return at, end, name[0].lower(), page[name.end() : end - 1]
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            return at, n if end < 0 else end + 1, None, ""
+        at += 1
+    return None
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The end of a tag with a quote that is never closed, or of the page. There are two kinds of quotes, so few tags come here."""
+    while found := _QUOTE_OR_END.search(page, at):
+        if found[0] == ">":
+            return found.end()
+        close = page.find(found[0], found.end())
+        at = found.end() if close < 0 else close + 1
+    return len(page)
+
+
+@dataclass
+class _Open:
+    """The open elements, innermost last, with the positions of each tag, and of blocks, among them."""
+
+    nodes: list[Node]
+    of: dict[str, list[int]] = field(default_factory=dict)
+    blocks: list[int] = field(default_factory=lambda: [0])
+    count: int = 1
+
+    def push(self, node: Node) -> None:
+        node.begin = self.count
+        self.count += 1
+        self.of.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        held = self.of.get(tag)
+        return held[-1] if held else 0
+
+    def cut(self, position: int) -> None:
+        """Closes the element at a position and all inside it; the top stays."""
+        while len(self.nodes) > max(position, 1):
+            node = self.nodes.pop()
+            node.end = self.count
+            self.of[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+
+    def close_before(self, tag: str) -> None:
+        """Closes what the begin of an element ends: the like of it that no element of its scope is inside of."""
+        closes, scope = _CLOSES[tag], _SCOPE.get(tag)
+        position = max(self.last(t) for t in closes)
+        barrier = max(self.last(t) for t in scope) if scope else self.blocks[-1]
+        if position and position >= barrier:
+            while position > 1 and self.nodes[position - 1].tag in closes:
+                position -= 1
+            self.cut(position)
+
+
+def blocks(page: str, weights: dict[str, float] | None = None, labelled: bool = False) -> Iterator[Block]:
+    """The blocks of text of a page, in order; with weights, their elements' scores. In labelled pages `x-main` marks main text."""
+    score = (lambda features: sum(weights.get(f, 0.0) for f in features)) if weights else (lambda features: 0.0)
     top = Node("html", None, ("t:html",))
-    node, at, tags, main = top, 0, 0, 0
+    top.score = score(top.features) + (weights or {}).get("", 0.0)
+    opened = _Open([top])
+    at = before = main = 0
     parts: list[str] = []
     links = linked = 0
 
     def flush():
-        nonlocal parts, tags, linked
+        nonlocal parts, before, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         made = None
         if text:
-            owner = node
-            while owner.parent is not None and owner.tag not in BLOCKS:
-                owner = owner.parent
-            made = Block(owner, text, tags, main > 0, text.count(" ") + 1, linked > 0.8 * sum(map(len, parts)))
-            tags = 0
+            made = Block(opened.nodes[opened.blocks[-1]], text, before, main > 0, text.count(" ") + 1, linked > 0.8 * sum(map(len, parts)))
+            before = 0
         parts, linked = [], 0
         return made
 
-    n = len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        end = found.start() if found else n
-        if end > at and not node.hidden:
-            parts.append(page[at:end])
-            linked += (end - at) * (links > 0)
-        if not found:
-            break
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+    while found := next_tag(page, at):
+        begin, end, name, attributes = found
+        if begin > at and not opened.nodes[-1].hidden:
+            parts.append(page[at:begin])
+            linked += (begin - at) * (links > 0)
+        at = end
+        if name is None:
             continue
-        tag, closing = tag.lower(), bool(found[1])
-        if tag == "x-main":
+        closing = name[0] == "/"
+        tag = name[1:] if closing else name
+        if labelled and tag == "x-main":
             if made := flush():
                 yield made
             main += -1 if closing else 1
             continue
-        tags += 1
+        before += 1
         if not closing and tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            if not (attributes.endswith("/") and tag in ("svg", "math")):
+                stop = _end_of(tag).search(page, at)
+                at = stop.end() if stop else len(page)
             continue
         if tag in BLOCKS:
             if made := flush():
@@ -130,27 +213,31 @@ def blocks(page: str) -> Iterator[Block]:
         if tag in VOID:
             continue
         if closing:
-            up = node
-            while up is not top and up.tag != tag:
-                up = up.parent
-            if up is not top:
-                node = up.parent
+            if position := opened.last(tag):
+                opened.cut(position)
             continue
-        if tag in BLOCKS and node.tag == "p":
-            node = node.parent
+        if tag in BLOCKS and opened.nodes[-1].tag == "p":
+            opened.cut(len(opened.nodes) - 1)
         if tag in _CLOSES:
-            up = node
-            while up is not top and up.tag not in _CLOSES[tag] and up.tag not in _SCOPE.get(tag, BLOCKS):
-                up = up.parent
-            while up is not top and up.tag in _CLOSES[tag]:
-                node = up = up.parent
+            opened.close_before(tag)
         if tag == "html":
             continue
         if tag == "body":
-            node = top
-        node = _node(tag, found[3], node)
+            opened.cut(1)
+        parent = opened.nodes[-1]
+        features, hidden = _features(tag, attributes, parent.hidden)
+        opened.push(Node(tag, parent, features, hidden, score=parent.score + score(features)))
+    if at < len(page) and not opened.nodes[-1].hidden:
+        parts.append(page[at:])
+        linked += (len(page) - at) * (links > 0)
     if made := flush():
         yield made
+    opened.cut(1)
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
 def _path(node: Node | None) -> Iterator[Node]:
@@ -164,7 +251,7 @@ def fit(labelled: list[str]) -> dict[str, float]:
     inside, outside = Counter(), Counter()
     n_in = n_out = 0.0
     for page in labelled:
-        for b in blocks(page):
+        for b in blocks(page, labelled=True):
             w = math.log1p(b.words)
             features = {f for node in _path(b.node) for f in node.features} | ({LINKED} if b.linked else set())
             (inside if b.main else outside).update(dict.fromkeys(features, w))
@@ -177,15 +264,8 @@ def fit(labelled: list[str]) -> dict[str, float]:
     return weights
 
 
-def _score(node: Node, weights: dict[str, float]) -> float:
-    if node.score is None:
-        own = sum(weights.get(f, 0.0) for f in node.features)
-        node.score = own + (_score(node.parent, weights) if node.parent else weights.get("", 0.0))
-    return node.score
-
-
 def _block_score(b: Block, weights: dict[str, float]) -> float:
-    return _score(b.node, weights) + (weights.get(LINKED, 0.0) if b.linked else 0.0)
+    return b.node.score + (weights.get(LINKED, 0.0) if b.linked else 0.0)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -200,22 +280,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page: its blocks, joined by empty lines."""
-    found = list(blocks(page or ""))
-    scores = []
-    for b in found:
-        word = max(-MOST, min(1.0, _block_score(b, weights)))
-        scores.append(word * b.words - TAG_COST * min(b.tags_before, 10))
+def extract(page: str | None, weights: dict[str, float], complete: bool = True) -> str:
+    """The main text of a page: its blocks, joined by empty lines. complete: of the region's element, or else of the region alone."""
+    found = list(blocks(page or "", weights))
+    each = [_block_score(b, weights) for b in found]
+    scores = [max(-MOST, min(1.0, s)) * b.words - TAG_COST * min(b.tags_before, 10) for s, b in zip(each, found, strict=True)]
     begin, end = best_region(scores)
     if begin == end:
         return ""
-    held = {id(n): n for n in _path(_container(found[begin].node))}
-    for b in found[begin + 1 : end]:
-        held = {id(n): n for n in _path(_container(b.node)) if id(n) in held}
-    whole = max(held.values(), key=lambda n: n.depth)
-    inside = [b for b in found if any(n is whole for n in _path(b.node))]
-    return "\n\n".join(b.text for b in inside if _block_score(b, weights) > 0)
+    chosen = range(begin, end)
+    if complete:
+        whole = _container(found[begin].node)
+        for b in found[begin + 1 : end]:
+            while not whole.holds(b.node):
+                whole = _container(whole.parent)
+        chosen = [i for i, b in enumerate(found) if whole.holds(b.node)]
+    return "\n\n".join(found[i].text for i in chosen if each[i] > 0)
 
 
 def _container(node: Node) -> Node:

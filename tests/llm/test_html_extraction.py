@@ -2,9 +2,15 @@ import html
 import itertools
 import random
 import re
+import time
+from collections import Counter
+
+import pytest
 
 from tessera.llm import html_extraction as H
 
+from .html_layouts import LAYOUTS
+
 W = H.default_weights()
 
 
@@ -58,3 +64,60 @@ def test_broken_and_empty(spark):
     rows = spark.createDataFrame([(1, None, None, "a"), (1, None, None, "a"), (None, "u", "<p>x y</p>", "b")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, H.extract_pages(rows).collect()), key=str) == sorted([(1, None, "", 0), (1, None, "", 0), (None, "u", "x y", 3)], key=str)
     assert H.extract_pages(rows.limit(0)).collect() == []
+
+
+def accuracy(complete):
+    """Precision and recall in words, by layout that the weights weren't fitted to."""
+    out = {}
+    for name, page in LAYOUTS.items():
+        want = Counter(w for b in H.blocks(page, labelled=True) if b.main for w in b.text.split())
+        got = Counter(H.extract(re.sub("</?x-main>", "", page), W, complete).split())
+        both = sum((want & got).values())
+        out[name] = both / max(1, sum(got.values())), both / sum(want.values())
+    return out
+
+
+def test_accuracy_on_other_layouts():
+    whole, region = accuracy(True), accuracy(False)
+    mean = lambda found, k: sum(x[k] for x in found.values()) / len(found)
+    print(whole, mean(whole, 0), mean(whole, 1), mean(region, 0), mean(region, 1))
+    assert mean(whole, 0) > 0.95 and mean(whole, 1) > 0.95
+    # why the region is completed to its element
+    assert mean(region, 1) < mean(whole, 1)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" * 100_000 + "text of it" + "</div>" * 100_000, "text of it"),
+        ("text before<p>and " + "<a " * 350_000, "text before\n\nand"),
+        ("</p></div>" * 100_000 + "text of it", "text of it"),
+        ("<div><a '>" * 100_000, ""),
+        ("<p>" + "<span>" * 50_000 + "<p>ab" * 50_000, "\n\n".join(["ab"] * 50_000)),
+        ("<li><div>" + "<span>" * 20_000 + "<li>ab" * 20_000, "ab" * 20_000),
+    ],
+)
+def test_time_is_in_proportion_to_length(page, text):
+    start = time.perf_counter()
+    assert re.sub(r"\s", "", H.extract(page, W)) == re.sub(r"\s", "", text)
+    assert time.perf_counter() - start < 10
+
+
+def test_marks_count_in_labelled_pages_only():
+    page = "<article><p>some words that stay</p><x-main class='sidebar'><p>and these inside of an unknown element</p></x-main></article>"
+    assert "and these" not in H.extract(page, W) and [b.main for b in H.blocks(page, labelled=True)] == [False, True]
+
+
+def test_tags():
+    read = lambda page: [page[a:b] for a, b in _all_tags(page)]
+    assert read("a<b>c</b>") == ["<b>", "</b>"]
+    assert read("""<a title="x>y" href='>'>t<!-- <b> --><i>""") == ["""<a title="x>y" href='>'>""", "<!-- <b> -->", "<i>"]
+    assert read("""<p id="never closed>text<b>x</b>""") == ["""<p id="never closed>""", "<b>", "</b>"]
+    assert read("1 < 2 <!doctype html><?xml?> <3") == ["<!doctype html>", "<?xml?>"]
+
+
+def _all_tags(page):
+    at = 0
+    while found := H.next_tag(page, at):
+        yield found[0], found[1]
+        at = found[1]
