@@ -43,7 +43,7 @@ COVER = 0.75
 #: Rows from which a group has an estimate of its own, and rows at which that counts as much as its language's.
 LEAST_ROWS, PRIOR_ROWS = 16, 100
 #: Rows of a block, about, that is fitted in one task.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 8_000
 #: Starts from subsets of rows, and how many starts of all are gone on with after two steps.
 SUBSETS, FINISHED = 30, 4
 #: Added to standard deviations (in quadrature), so that a statistic which hardly varies isn't decisive.
@@ -249,7 +249,8 @@ def estimates(rows: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
     if now.isEmpty():
         return best
     done = best.join(near(now.select(F.col("key").alias("of"))), F.col("key") == F.col("of"), "left_anti")
-    moving = now
+    # a block's determinant is that of fewer rows: the first step on all rows counts whatever it gives
+    moving = X.cut(_step(large, now, near))
     while True:  # a determinant falls in each step, or its group is left as it is
         new = X.cut(_step(large, moving, near))
         fell = new.join(moving.select(F.col("key").alias("of"), F.col("det").alias("last")), F.col("key") == F.col("of")).where(F.col("det") < F.col("last") - SETTLED_ALL)
