@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -131,14 +130,26 @@ def vectors() -> list[Column]:
 # Minimum covariance determinant
 
 
-def chi_quantile(share: float, degrees: int) -> float:
-    """A quantile of the chi-square distribution (Wilson and Hilferty's approximation)."""
-    return degrees * (1 - 2 / (9 * degrees) + NormalDist().inv_cdf(share) * math.sqrt(2 / (9 * degrees))) ** 3
+def chi_share(x: float, degrees: int) -> float:
+    """The share of a chi-square distribution up to x, by the series of the incomplete gamma function."""
+    a, half = degrees / 2, x / 2
+    term = total = math.exp(a * math.log(half) - half - math.lgamma(a + 1)) if half > 0 else 0.0
+    k = 0
+    while term > 1e-17 * total:
+        k += 1
+        term *= half / (a + k)
+        total += term
+    return total
 
 
-def chi_share(x: float, degrees: int) -> float:
-    """The share of a chi-square distribution up to x, by the same approximation."""
-    return NormalDist().cdf(((x / degrees) ** (1 / 3) - (1 - 2 / (9 * degrees))) / math.sqrt(2 / (9 * degrees)))
+def chi_quantile(share: float, degrees: int) -> float:
+    """A quantile of the chi-square distribution, by bisection."""
+    low, high = 0.0, 1.0
+    while chi_share(high, degrees) < share:
+        high *= 2
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if chi_share((low + high) / 2, degrees) < share else (low, (low + high) / 2)
+    return high
 
 
 def consistency(cover: float, p: int) -> float:
