@@ -4,7 +4,8 @@ Every window of `width` words gets a Rabin-Karp hash. A task keeps the earliest
 windows of its block, so a window of a third of all rows reaches a reducer once for each
 block, and sends hashes and positions to buckets, as compressed blocks. A bucket counts equal
 hashes; all but the earliest position are claims, which go to the part of their document
-and merge into maximal intervals there.
+and merge into maximal intervals there. Parts and buckets are of bounded size, and as many as the
+input needs.
 
 Equality is by 64 bits of one hash and the bucket by a second, independent hash: with n
 windows and b buckets, a false match anywhere has a chance of about n^2 / (2^65 b).
@@ -44,31 +45,23 @@ def _local(ids: np.ndarray, tags: np.ndarray, column, width: int):
     return main, second, row, (at - first[row]).astype(np.uint32), repeat
 
 
-def _text_tags(column) -> np.ndarray:
-    data, at = T.flat(column)
-    out = np.zeros(len(at) - 1, np.uint32)
-    for i, j in T.slices(at):
-        out[i:j] = T.span_hash(data[at[i] : at[j]], at[i:j] - at[i], at[i + 1 : j + 1] - at[i]).astype(np.uint32)
-    return out
-
-
 def _claims(docs: DataFrame, width: int, parts: int) -> DataFrame:
     """Rows (part, blob): starts of windows that are not the first of their words, for documents of that part."""
 
     def emit(batches):
         for block in T.blocks(batches, "text", X.BLOCK_BYTES):
-            ids, tags = X.ids_of(block.column("doc_id")), _text_tags(block.column("text"))
+            ids, tags = X.ids_of(block.column("doc_id")), X.tags_of(block.column("text"))
             order = np.lexsort((tags, ids))
             same = np.zeros(len(order), bool)
             same[1:] = (ids[order[1:]] == ids[order[:-1]]) & (tags[order[1:]] == tags[order[:-1]])
             order = order[~same]
             ids, tags = ids[order], tags[order]
             main, second, row, start, repeat = _local(ids, tags, block.column("text").take(pa.array(order)), width)
-            part = (X.id_hash(pa.array(ids)) % np.uint64(parts)).astype(np.int32)
+            part = X.part_of(ids, tags, parts)
             held = np.flatnonzero(repeat)
             for key, which in X.grouped(part[row[held]]):
                 at = held[which]
-                yield _row(-1 - int(key), _seal_claims(ids[row[at]], tags[row[at]], start[at]))
+                yield _row(parts + int(key), _seal_claims(ids[row[at]], tags[row[at]], start[at]))
             sent = np.flatnonzero(~repeat)
             bucket = (second[sent] % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int32)
             for key, which in X.grouped(bucket):
@@ -84,8 +77,8 @@ def _claims(docs: DataFrame, width: int, parts: int) -> DataFrame:
 
     def settle(key, table: pa.Table):
         key = key[0].as_py()
-        if key < 0:
-            yield from pa.table({"part": pa.array([-1 - key] * len(table), pa.int32()), "blob": table["docs"]}).to_batches()
+        if key >= parts:
+            yield from pa.table({"part": pa.array([key - parts] * len(table), pa.int32()), "blob": table["docs"]}).to_batches()
             return
         ids, tags, starts, mains = [], [], [], []
         for docs_, steps, main in zip(table["docs"], table["steps"], table["main"], strict=True):
@@ -108,13 +101,14 @@ def _claims(docs: DataFrame, width: int, parts: int) -> DataFrame:
         order = np.lexsort((starts, tags, ids, main))
         later = order[np.r_[False, main[order[1:]] == main[order[:-1]]]]
         ids, tags, starts = ids[later], tags[later], starts[later]
-        part = (X.id_hash(pa.array(ids)) % np.uint64(parts)).astype(np.int32)
+        part = X.part_of(ids, tags, parts)
         for to, which in X.grouped(part):
             which = which[np.lexsort((starts[which], ids[which]))]
             yield pa.record_batch({"part": pa.array([to], pa.int32()), "blob": pa.array([_seal_claims(ids[which], tags[which], starts[which])], pa.binary())})
 
     sent = docs.mapInArrow(emit, "key int, docs binary, steps binary, main binary")
-    return sent.groupBy("key").applyInArrow(lambda k, t: pa.Table.from_batches(settle(k, t), _CLAIM), "part int, blob binary")
+    # keys are buckets, and behind them parts
+    return X.dealt(sent, 2 * parts, "key").groupBy("key").applyInArrow(lambda k, t: pa.Table.from_batches(settle(k, t), _CLAIM), "part int, blob binary")
 
 
 _CLAIM = pa.schema({"part": pa.int32(), "blob": pa.binary()})
@@ -143,7 +137,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, parts: int | None = None, w
         name, start = name[order], marks["start"].to_numpy()[order].astype(np.int64)
         for blob in texts["blob"]:
             table = X.unseal(blob.as_py())
-            own = T.mix(X.id_hash(table["doc_id"]) + _text_tags(table["text"]).astype(np.uint64))
+            own = T.mix(X.id_hash(table["doc_id"]) + table["tag"].to_numpy().astype(np.uint64))
             low, high = np.searchsorted(name, own), np.searchsorted(name, own, "right")
             n, gone, digests, kept = [], [], [], []
             for text, i, j in zip(table["text"].to_pylist(), low, high, strict=True):
@@ -163,6 +157,6 @@ def remove_repeats(docs: DataFrame, width: int = 20, parts: int | None = None, w
                 kept.append(joined.decode() if with_text else None)
             yield pa.record_batch({"doc_id": X.nullable_ids(X.ids_of(table["doc_id"])), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    left = X.text_parts(docs, parts).groupBy("part")
-    right = _claims(docs, width, parts).groupBy("part")
+    left = X.dealt(X.text_parts(docs, parts), parts, "part").groupBy("part")
+    right = X.dealt(_claims(docs, width, parts), parts, "part").groupBy("part")
     return left.cogroup(right).applyInArrow(lambda k, a, b: pa.Table.from_batches(finish(k, a, b), _RESULT), RESULT)
