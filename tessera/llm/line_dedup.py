@@ -160,11 +160,11 @@ def _candidates(scan: DataFrame, buckets: int) -> DataFrame:
         return pa.table([pairs[:, 0], (1 << pairs[:, 1]).astype(np.int32)], names=["h1", "codes"])
 
     sent = scan.select("h1", "keys").mapInArrow(emit, "bucket int, low binary, high binary, of binary, lines binary")
-    return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "h1 long, codes int").groupBy("h1").agg(F.bit_or("codes").alias("codes"))
+    return X.dealt(sent, buckets, "bucket").groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "h1 long, codes int").groupBy("h1").agg(F.bit_or("codes").alias("codes"))
 
 
-#: A variant: key, whether a whole line (0) or a variant of a longer one (1) or of an equally long one (2), and the line.
-_VARIANT = "k1 long, k2 long, role int, h1 long, doc_id long, tag long, line int"
+#: A variant: key, whether a whole line (0) or a variant of a longer one (1) or of an equally long one (2), and where the line begins.
+_VARIANT = "k1 long, k2 long, role int, doc_id long, tag long, line int"
 _VARIANTS = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in _VARIANT.split(", ")])
 
 
@@ -192,9 +192,12 @@ def _variants(lines: Lines, which: np.ndarray, codes: np.ndarray) -> list[tuple[
     return out
 
 
-def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
-    """Rows h1 of distinct lines of which another, one edit apart, begins earlier."""
-    wanted = lines.join(candidates, "h1").select("part", "doc_id", "tag", "line", "h1", "codes")
+def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, least: int, parts: int) -> DataFrame:
+    """Rows (doc_id, tag, line), the first position, of distinct lines of which another, one edit apart, begins earlier.
+
+    Lines meet their candidates by 64 bits of their hash, which may add candidates; what is removed is known by its position.
+    """
+    wanted = X.dealt(lines.join(candidates, "h1").select("part", "doc_id", "tag", "line", "codes"), parts, "part")
 
     def emit(key, texts: pa.Table, wanted: pa.Table) -> pa.Table:
         name = T.mix(X.id_hash(wanted["doc_id"]) + wanted["tag"].to_numpy().view(np.uint64))
@@ -222,11 +225,10 @@ def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, lea
             owner, number, code = np.array(owner), np.array(number, np.int32), np.array(code, np.int64)
             for i, j in T.slices(np.r_[0, np.cumsum([len(x) for x in pieces])], 1 << 20):
                 lines = Lines(pa.array(pieces[i:j], pa.string()), least)
-                h1 = lines.hashes(0)
                 for line, k1, k2, role in _variants(lines, np.arange(len(lines.begin)), code[i + lines.doc]):
                     at = i + lines.doc[line]
                     r = owner[at]
-                    found.append(pa.record_batch([pa.array(x, f.type) for x, f in zip((k1, k2, role, h1[line], ids[r], tags[r], number[at]), _VARIANTS, strict=True)], schema=_VARIANTS))
+                    found.append(pa.record_batch([pa.array(x, f.type) for x, f in zip((k1, k2, role, ids[r], tags[r], number[at]), _VARIANTS, strict=True)], schema=_VARIANTS))
         return pa.Table.from_batches(found, _VARIANTS)
 
     made = X.cut(texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(lambda k, t, w: emit(k, t, w), _VARIANT))
@@ -234,7 +236,7 @@ def _near_removed(texts: DataFrame, lines: DataFrame, candidates: DataFrame, lea
     first = made.groupBy("k1", "k2").agg(F.count("*").alias("n"), *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"at{r}") for r in range(3))).where("n > 1").drop("n")
     met = made.join(first, ["k1", "k2"])
     earlier = F.when(F.col("role") == 0, F.col("at1")).when(F.col("role") == 1, F.col("at0")).otherwise(F.col("at2"))
-    return met.where(earlier < F.col("at")).select("h1").distinct()
+    return met.where(earlier < F.col("at")).select("doc_id", "tag", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None, least_near: int = LEAST_NEAR) -> DataFrame:
@@ -251,14 +253,14 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, parts: int | None = None, l
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     parts = parts or X.parts_for(docs)
     scan = X.cut(_blocks(own, least, least_near))
-    spread = F.pmod(F.xxhash64("at.doc_id"), F.lit(parts)).cast("int")
+    spread = F.pmod(F.xxhash64("at.doc_id", "at.tag"), F.lit(parts)).cast("int")
     by_hash = scan.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "line")).alias("at"))
     lines = X.cut(by_hash.select(spread.alias("part"), "at.*", "h1"))
     candidates = X.cut(_candidates(scan, max(1, parts // 4)))
     del scan, by_hash
-    texts = _row_parts(own, parts)
-    gone = X.cut(_near_removed(texts, lines, candidates, least))
-    kept = lines.join(gone, "h1", "left_anti").select("part", "doc_id", "tag", "line")
+    texts = X.dealt(_row_parts(own, parts), parts, "part")
+    gone = X.cut(_near_removed(texts, lines, candidates, least, parts))
+    kept = X.dealt(lines.join(gone, ["doc_id", "tag", "line"], "left_anti").select("part", "doc_id", "tag", "line"), parts, "part")
     result = _arrow(docs.schema)
 
     def finish(key, texts: pa.Table, kept: pa.Table) -> pa.Table:
@@ -302,7 +304,10 @@ def _arrow(schema: StructType) -> pa.Schema:
 
 
 def _row_parts(own: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, blob): sealed tables of doc_id, tag, text and the whole row without its text, by part of doc_id."""
+    """Rows (part, blob): sealed tables of doc_id, tag, text and the whole row without its text, by doc_id and text.
+
+    Empty texts, which have no lines, are dealt out in turn.
+    """
 
     def emit(batches):
         for block in T.blocks(batches, "text", 4 << 20):
@@ -311,7 +316,8 @@ def _row_parts(own: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch({"part": pa.array([part], pa.int32()), "blob": pa.array([X.seal(table.take(pa.array(rows)).drop_columns(["part"]).combine_chunks())], pa.binary())})
 
     slim = F.col("row").withField("text", F.lit(None).cast("string"))
-    named = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "tag", "text", slim.alias("row"))
+    spot = F.when(F.octet_length("text") > 0, F.xxhash64("doc_id", "tag")).otherwise(F.monotonically_increasing_id())
+    named = own.select(F.pmod(spot, F.lit(parts)).cast("int").alias("part"), "doc_id", "tag", "text", slim.alias("row"))
     return named.mapInArrow(emit, "part int, blob binary")
 
 
