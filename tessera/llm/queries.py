@@ -21,8 +21,7 @@ def tokenizer() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the bounds of its SQL; the operator judges shorter lines too
-    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=10, least_near=20))
+    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +135,14 @@ ORACLES: dict[str, str] = {
         WITH pieces AS (
             SELECT doc_id, i AS line, p[i] AS piece, regexp_replace(p[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
-        judged AS (SELECT doc_id, line, s, doc_id * 100000000 + line AS pos FROM pieces WHERE length(s) >= 10),
+        judged AS (SELECT doc_id, line, s, doc_id * 100000000 + line AS pos FROM pieces WHERE s <> ''),
         d AS (SELECT s, min(pos) AS pos, length(s) AS n FROM judged GROUP BY s),
-        v AS (SELECT s, pos, n, i, hash(substr(s, 1, i - 1) || substr(s, i + 1)) AS h FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 20)),
+        v AS (SELECT s, pos, n, i, hash(substr(s, 1, i - 1) || substr(s, i + 1)) AS h FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 10)),
         near AS (
             SELECT b.s FROM v AS a JOIN v AS b ON a.h = b.h AND a.i = b.i AND a.n = b.n AND a.pos < b.pos
             WHERE substr(a.s, 1, a.i - 1) = substr(b.s, 1, b.i - 1) AND substr(a.s, a.i + 1) = substr(b.s, b.i + 1)
             UNION
-            SELECT CASE WHEN v.pos > d.pos THEN v.s ELSE d.s END FROM v JOIN d ON v.h = hash(d.s) AND v.n = d.n + 1 AND d.n >= 20
+            SELECT CASE WHEN v.pos > d.pos THEN v.s ELSE d.s END FROM v JOIN d ON v.h = hash(d.s) AND v.n = d.n + 1 AND d.n >= 10
             WHERE substr(v.s, 1, v.i - 1) || substr(v.s, v.i + 1) = d.s),
         gone AS (
             SELECT doc_id, line FROM judged JOIN d USING (s) WHERE judged.pos > d.pos
