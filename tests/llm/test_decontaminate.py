@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm import decontaminate as D
 
@@ -55,12 +56,13 @@ def test_equals_brute_force(spark, monkeypatch):
     for width, size, step in ((10, 1 << 20, 1 << 20), (3, 100, 50)):
         monkeypatch.setattr(D, "ITEM_BYTES", size)
         monkeypatch.setattr(D, "STEP", step)
-        for store in (True, False):
-            got = D.contamination(docs(spark, data).repartition(3), item_table(spark, items), width, store).collect()
-            assert sorted(map(tuple, got), key=str) == brute(data, items, width)
+        got = D.contamination(docs(spark, data).repartition(3), item_table(spark, items), width).collect()
+        assert sorted(map(tuple, got), key=str) == brute(data, items, width)
 
 
-def test_filter_keeps_clean_rows_whole(spark):
+@pytest.mark.parametrize("size", [1 << 20, 100])
+def test_filter_keeps_clean_rows_whole(spark, monkeypatch, size):
+    monkeypatch.setattr(D, "ITEM_BYTES", size)
     data, items = case()
     table = docs(spark, data)
     clean = [(i, t) for i, t in data if not any(b[-1] for b in brute([(i, t)], items, 10))]
@@ -73,13 +75,32 @@ def test_filter_keeps_clean_rows_whole(spark):
 def test_proximity():
     w = D.test_windows([(1, "red green blue")], 10)
     s = D.Segment.build(pa.array(["red x green blue", "red", "green blue red green y blue", "red x x x green blue"]), w.vocabulary)
-    ((window,), _), = w.groups
-    assert s.phrases(np.array([window]), 3)[1].tolist() == []
-    first = s.first
-    where = {int(np.searchsorted(first, p, "right") - 1) for p in s.near(window, 3, 1)}
+    ((windows, _, _),) = w.groups
+    assert s.phrases(windows, 3)[1].tolist() == []
+    where = {int(np.searchsorted(s.first, p, "right") - 1) for p in s.proximities(windows, 3, 1)[1]}
     assert where == {0, 2}
 
 
+def test_windows_are_distinct_and_know_their_items():
+    w = D.test_windows([(1, "a b c d"), (2, "b c d"), (2, "b c"), (3, "d"), (4, None), (5, "a b c")], 3)
+    named = {}
+    for g, (windows, _, _) in enumerate(w.groups):
+        for k, row in enumerate(windows):
+            named[tuple(int(x) for x in w.vocabulary[row])] = w.items(g, k)
+    word = {x: int(h) for x, h in zip("abcd", D.T.hash_words(pa.array(["a b c d"]), D.T.NOT_ALNUM, lower=True)[0], strict=True)}
+    assert named == {tuple(word[x] for x in k): v for k, v in {"abc": ["1", "5"], "bcd": ["1", "2"], "bc": ["2"], "d": ["3"]}.items()}
+
+
+def test_union_of_intervals():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        begin = rng.integers(0, 30, rng.integers(0, 8))
+        end = begin + rng.integers(1, 9, len(begin))
+        a, b = D.joined(begin, end)
+        cover = set().union(*(range(i, j) for i, j in zip(begin, end, strict=True)), set())
+        assert cover == set().union(*(range(i, j) for i, j in zip(a, b, strict=True)), set()) and sum(b - a) == len(cover) and (a[1:] > b[:-1]).all()
+
+
 def brute_matches(data, items, width, slop):
     out = set()
     for item, t in items:
@@ -109,8 +130,9 @@ def test_search_equals_brute_force(spark, monkeypatch, tmp_path):
     D.build_index(docs(spark, data + [(903, later[0][1])]).repartition(3), block_bytes=2000).write.parquet(str(tmp_path / "index"))
     index = spark.read.parquet(str(tmp_path / "index"))
     data += [(903, later[0][1])]
-    for tests, width, slop, step in ((items, 10, 1, 1 << 20), (items, 3, 2, 50), (later, 4, 0, 1 << 20)):
+    for tests, width, slop, step, size in ((items, 10, 1, 1 << 20, 1 << 20), (items, 3, 2, 50, 300), (later, 4, 0, 1 << 20, 1 << 20)):
         monkeypatch.setattr(D, "STEP", step)
+        monkeypatch.setattr(D, "ITEM_BYTES", size)
         got = D.search(index, item_table(spark, tests), width, slop).collect()
         want = brute_matches(data, tests, width, slop)
         assert set(map(tuple, got)) == want and len(got) == len(want)
