@@ -327,21 +327,36 @@ def register(spark: SparkSession) -> None:
 # Deduplication
 
 
+#: Pages that revisit others, of some 60 bytes each, up to which they are broadcast.
+MOST_BROADCAST = 400_000
+#: Groups among which pages without an id are dealt.
+SALTS = 32
+
+
 def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Adds payload_bytes, payload_digest, record_type and refers_to to pages (page_id, url, html).
 
     Of rows with equal payloads of at least `least_bytes` bytes the one with the smallest page_id is a response, the others
     revisit it; all other rows are responses. A null html is an empty payload. Rows that repeat page_id and payload are the
     same response. A null page_id comes after all others; where all of a group are null, all are responses. Only ids and
-    digests are grouped; the payloads are shuffled once, by page_id, so that a payload of many pages doesn't meet in one task.
+    digests are grouped. Up to MOST_BROADCAST pages that revisit are sent to all tasks, and payloads stay where they are;
+    beyond, payloads are shuffled once, by page_id (those without one dealt over SALTS), so that a payload of many pages
+    doesn't meet in one task.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload_text"), F.sha2(body.cast("binary"), 256).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
     large = sized.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest")
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = large.distinct().join(first, "payload_digest").where(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    later = later.select(F.col("page_id").alias("later_id"), F.col("payload_digest").alias("later_digest"), F.col("first_id").alias("refers_to"))
-    out = sized.join(later, sized.page_id.eqNullSafe(later.later_id) & (sized.payload_digest == later.later_digest), "left")
+    later = X.cut(later.select(F.col("page_id").alias("later_id"), F.unhex("payload_digest").alias("later_digest"), F.col("first_id").alias("refers_to")))
+    met = F.col("page_id").eqNullSafe(F.col("later_id")) & (F.unhex("payload_digest") == F.col("later_digest"))
+    if later.count() <= MOST_BROADCAST:
+        out = sized.join(F.broadcast(later), met, "left")
+    else:
+        none = F.col("page_id").isNull()
+        salted = sized.withColumn("salt", F.when(none, F.monotonically_increasing_id() % SALTS).otherwise(0))
+        later = later.withColumn("later_salt", F.explode(F.when(F.col("later_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        out = salted.join(later, met & (F.col("salt") == F.col("later_salt")), "left")
     return out.select("page_id", "url", "payload_text", "payload_bytes", "payload_digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
@@ -369,11 +384,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """
     register(spark)
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(-?[0-9]*)', 1), '') AS bigint)")
-    full = spark.read.format("warc").schema("record_id string, record_type string, payload binary").load(path).where("record_type = 'response'")
-    heads = spark.read.format("warc").schema("record_id string, record_type string, refers_to string, payload_digest string, payload_length long").load(path).where("record_type = 'revisit'")
-    a = full.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    b = heads.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.expr("substring(payload_digest, 8)").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
-    return a.unionByName(b)
+    rows = spark.read.format("warc").schema("record_id string, record_type string, refers_to string, payload_digest string, payload_length long, payload binary").load(path)
+    full = F.col("record_type") == "response"
+    return rows.where("record_type in ('response', 'revisit')").select(
+        number("record_id").alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.expr("substring(payload_digest, 8)")).alias("payload_digest"),
+        "record_type",
+        F.when(~full, number("refers_to")).alias("refers_to"),
+    )
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:

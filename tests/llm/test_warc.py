@@ -27,7 +27,9 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, None if i == 3 else f"http://x/{i}\r\nEvil: 1", h, "x", 1) for i, h in rows], "page_id long, url string, html string, payload string, refers_to int")
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("most", [1000, 0])
+def test_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(W, "MOST_BROADCAST", most)
     got = sorted(map(tuple, W.round_trip(pages(spark, ROWS)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
     assert got == brute(ROWS)
     assert W.round_trip(pages(spark, [])).collect() == []
