@@ -302,5 +302,5 @@ def annotate(docs: DataFrame, model: Model, spans: bool = True, least: float = 0
 
 
 def training_rows(doc_id: str = "doc_id"):
-    """Rows to learn labels from: those whose crc32 of the doc_id as text isn't divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
+    """Rows to learn labels from: those whose crc32 of the doc_id as text isn't divisible by 5, or that have no doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(True))
