@@ -170,7 +170,7 @@ def _buckets(nodes: DataFrame, spread: int) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in sealed)], schema=_GROUPS)
 
     sent = nodes.mapInArrow(emit, "bucket int, low binary, high binary, second binary, sids binary")
-    return sent.groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "bucket int, ids array<long>, sizes binary, members binary")
+    return X.dealt(sent, SUB * spread, "bucket").groupBy("bucket").applyInArrow(lambda k, t: settle(k, t), "bucket int, ids array<long>, sizes binary, members binary")
 
 
 _GROUPS = pa.schema({"bucket": pa.int32(), "ids": pa.list_(pa.int64()), "sizes": pa.binary(), "members": pa.binary()})
@@ -228,6 +228,7 @@ class _Forest:
 def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, width: int, similarity: int) -> DataFrame:
     """Pairs (a, b) whose full sets have the similarity: those of a spanning forest in each part. texts: sealed (sid, text)."""
     pairs = X.cut(pairs.coalesce(parts))
+    texts = X.dealt(texts, parts, "part")
     asked = pairs.select(_part("a", parts).alias("part"), "a", _part("b", parts).alias("to")).distinct()
 
     def send(key, blobs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -258,9 +259,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, parts: int, width: int, similar
                     found.join(a, sid)
         return found.table()
 
-    sets = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), "part int, a long, b long, own binary")
+    sets = texts.groupBy("part").cogroup(X.dealt(asked, parts, "part").groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), "part int, a long, b long, own binary")
     mixed = sets.unionByName(pairs.select(_part("b", parts).alias("part"), "a", "b", F.lit(None).cast("binary").alias("own")))
-    return texts.groupBy("part").cogroup(mixed.groupBy("part")).applyInArrow(lambda k, t, s: compare(k, t, s), "a long, b long")
+    return texts.groupBy("part").cogroup(X.dealt(mixed, parts, "part").groupBy("part")).applyInArrow(lambda k, t, s: compare(k, t, s), "a long, b long")
 
 
 _SENT = pa.schema({"part": pa.int32(), "a": pa.int64(), "b": pa.int64(), "own": pa.binary()})
@@ -297,7 +298,8 @@ def _candidate_texts(texts: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
                 out.append(X.seal(table.filter(pa.array(keep)).combine_chunks()))
         return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["part", "blob"])
 
-    return texts.groupBy("part").cogroup(ids.withColumn("part", _part("sid", parts)).groupBy("part")).applyInArrow(lambda k, t, i: pick(k, t, i), "part int, blob binary")
+    texts = X.dealt(texts, parts, "part")
+    return texts.groupBy("part").cogroup(X.dealt(ids.withColumn("part", _part("sid", parts)), parts, "part").groupBy("part")).applyInArrow(lambda k, t, i: pick(k, t, i), "part int, blob binary")
 
 
 class _Bucket:
@@ -438,10 +440,11 @@ def _remaining(found: DataFrame, named: DataFrame, texts: DataFrame, parts: int,
         return found.table()
 
     schema = "part int, to binary, known binary, own binary"
+    texts = X.dealt(texts, parts, "part")
     asked = X.cut(found.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(lambda k, g, n: ask(k, g, n), schema).coalesce(parts))
-    sets = texts.groupBy("part").cogroup(asked.where("to is not null").groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), schema)
+    sets = texts.groupBy("part").cogroup(X.dealt(asked.where("to is not null"), parts, "part").groupBy("part")).applyInArrow(lambda k, t, a: send(k, t, a), schema)
     mixed = sets.unionByName(asked.where("to is null"))
-    return texts.groupBy("part").cogroup(mixed.groupBy("part")).applyInArrow(lambda k, t, m: compare(k, t, m), "a long, b long")
+    return texts.groupBy("part").cogroup(X.dealt(mixed, parts, "part").groupBy("part")).applyInArrow(lambda k, t, m: compare(k, t, m), "a long, b long")
 
 
 _ASKED = pa.schema({"part": pa.int32(), "to": pa.binary(), "known": pa.binary(), "own": pa.binary()})
