@@ -27,6 +27,9 @@ class Found:
     unique: frozenset[str] | None = frozenset()
     limits: dict[str, int] = field(default_factory=dict)
     defaults: dict[str, C.Scalar] = field(default_factory=dict)
+    #: Of a document: whether it is one, and the collection and path that it is embedded at.
+    document: bool = False
+    embedded: tuple[str, str] | None = None
 
 
 def introspect(frames: dict[str, DataFrame], keys: dict[str, str | tuple[str, ...]] | None = None, relations: dict[str, list[tuple[str, str]]] | None = None) -> list[Found]:
@@ -142,6 +145,9 @@ def _object(found: Found, old: dict | None, safe: bool) -> dict:
         out["primary_key"] = key
     else:
         out |= {"ignore": True, "comment": "no primary key"}
+    if found.embedded:
+        out["embedded_in"] = {"collection_name": found.embedded[0], "path": found.embedded[1]}
+    entries = "fields" if found.document else "columns"
     if old:
         if old.get("primary_key") and "primary_key" not in out:
             out = {"name": found.name, "primary_key": old["primary_key"]}
@@ -149,10 +155,10 @@ def _object(found: Found, old: dict | None, safe: bool) -> dict:
     relations = list((old or {}).get("belongs_tos") or [])
     known = {(r["table_name"], r["foreign_key"]) for r in relations}
     relations += [{"table_name": p, "foreign_key": c} for c, p in found.foreign_keys if (p, c) not in known]
-    if relations:
+    if relations or found.document and not found.embedded:
         out["belongs_tos"] = relations
     structural = {out.get("primary_key")} | {r["foreign_key"] for r in relations} | {r.get("foreign_type") for r in relations}
-    by_name = {c["name"]: c for c in (old or {}).get("columns") or []}
+    by_name = {c["name"]: c for c in (old or {}).get(entries) or []}
     columns = []
     for f in found.schema.fields:
         if f.name in by_name:
@@ -167,7 +173,7 @@ def _object(found: Found, old: dict | None, safe: bool) -> dict:
             column["needs_mask_decision"] = True
         columns.append(column)
     columns += [c for n, c in by_name.items() if n not in found.schema.fieldNames()]
-    out["columns"] = columns
+    out[entries] = columns
     return out
 
 
@@ -187,8 +193,9 @@ def tidy(found: list[Found], objects: dict[str, dict]) -> dict[str, dict]:
             continue
         o = dict(o)
         have = set(by[name].schema.fieldNames())
-        if "columns" in o:
-            o["columns"] = [c for c in o["columns"] if c["name"] in have]
+        for entries in ("columns", "fields"):
+            if entries in o:
+                o[entries] = [c for c in o[entries] if c["name"] in have]
         if "belongs_tos" in o:
             o["belongs_tos"] = [r for r in o["belongs_tos"] if r.get("ignore") or r["table_name"] in by]
         out[name] = o
@@ -205,7 +212,7 @@ def write_objects(objects: dict[str, dict], directory: str | Path) -> None:
 def drift(found: list[Found], objects: dict[str, dict], overlays: dict[tuple[str, str], dict] | None = None) -> dict[str, list[str]]:
     """How the objects differ from what generating and tidying would make of them."""
     fresh = tidy(found, generate(found, objects))
-    names = lambda os: {f"{n}.{c['name']}" for n, o in os.items() for c in o.get("columns") or []}
+    names = lambda os: {f"{n}.{c['name']}" for n, o in os.items() for c in _entries(o)}
     both = objects.keys() & fresh.keys()
     live = {n for n, o in objects.items() if not o.get("ignore")}
     removed = names({n: objects[n] for n in both}) - names({n: fresh[n] for n in both})
@@ -215,7 +222,7 @@ def drift(found: list[Found], objects: dict[str, dict], overlays: dict[tuple[str
         "removed_tables": sorted(objects.keys() - fresh.keys()),
         "removed_columns": sorted(removed),
         "changed_tables": sorted(n for n in both if objects[n] != fresh[n]),
-        "needs_mask_decision": sorted(f"{n}.{c['name']}" for n, o in objects.items() for c in o.get("columns") or [] if c.get("needs_mask_decision")),
+        "needs_mask_decision": sorted(f"{n}.{c['name']}" for n, o in objects.items() for c in _entries(o) if c.get("needs_mask_decision")),
         "stale_tables": sorted((objects.keys() - fresh.keys()) & live),
         "stale_columns": sorted(r for r in removed if r.split(".")[0] in live and not _ignored(objects, r)),
     }
@@ -226,7 +233,12 @@ def drift(found: list[Found], objects: dict[str, dict], overlays: dict[tuple[str
 
 def _ignored(objects: dict[str, dict], path: str) -> bool:
     table, column = path.split(".", 1)
-    return any(c["name"] == column and c.get("ignore") for c in objects[table].get("columns") or [])
+    return any(c["name"] == column and c.get("ignore") for c in _entries(objects[table]))
+
+
+def _entries(o: dict) -> list[dict]:
+    """The columns of a table's object, or the fields of a collection's."""
+    return [*(o.get("columns") or []), *(o.get("fields") or [])]
 
 
 def report_frame(spark: SparkSession, report: dict[str, list[str]]) -> DataFrame:
@@ -234,21 +246,40 @@ def report_frame(spark: SparkSession, report: dict[str, list[str]]) -> DataFrame
     return spark.createDataFrame([(k, v) for k, vs in report.items() for v in vs], "kind string, name string")
 
 
-# Static checks. Names that look like credentials, and like other personal data.
-CREDENTIALS = r"password|secret|token|credential|passcode|api_?key|access_?key|private_?key|jwk"
-SENSITIVE = (
-    r"(^|_)otp(_|$)",
-    r"encrypted|digest|salt",
-    r"e_?mail",
-    r"phone|(^|_)mobile(_?(phone|number|tel))?$|(^|_)(tel|fax)(_|$)",
-    r"address",
-    r"(^|_)(zip|postal)",
-    r"birth",
-    r"(first|last|middle|full|given|family)_?name",
-    r"(^|_)(ssn|cvv|cvc)(_|$)",
-    r"card_?number",
-)
-EXCLUDED = r"_at$"
+# Static checks. A name is split into words; single words, and words that follow each other, say what a column holds.
+#: Words and phrases for something that lets its holder in.
+CREDENTIALS = ("password", "passwd", "pwd", "passphrase", "pin", "secret", "token", "jwt", "cookie", "credential", "api key", "signing key", "private key", "session id", "recovery code")
+#: Words and phrases for data on a person: how to reach them, who they are, what they pay with, where they are.
+PERSONAL = (
+    "email", "mail", "phone", "telephone", "cell", "fax", "address", "street", "postcode", "postal code", "zip",
+    "surname", "nickname", "first name", "last name", "legal name", "maiden name", "birthday", "birth date", "date of birth", "dob", "gender",
+    "passport", "ssn", "national id", "tax id", "driver license",
+    "iban", "card number", "cvv", "account number", "salary",
+    "latitude", "longitude", "ip", "hash",
+)
+#: A last word that makes a name one of a time, a number or a mark about such data, not the data.
+ABOUT = frozenset({"at", "on", "count", "verified", "enabled", "length"})
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def name_words(name: str) -> list[str]:
+    """The lower-case words of a name in snake or camel case, without a plural's ending."""
+    words = (w.lower() for w in _WORD.findall(name))
+    return [w[:-2] if w.endswith(("sses", "xes", "ches", "shes")) else w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in words]
+
+
+def names_one_of(name: str, phrases: tuple[str, ...]) -> bool:
+    """Whether a name has one of the phrases, its words apart or written as one, and isn't merely about it."""
+    words = name_words(name)
+    if not words or words[-1] in ABOUT:
+        return False
+    for phrase in phrases:
+        parts = name_words(phrase.replace(" ", "_"))
+        if "".join(parts) in words or any(words[i : i + len(parts)] == parts for i in range(len(words))):
+            return True
+    return False
+
+
 CHECKS = ("integrity", "guessable_credentials", "unmasked_sensitive")
 
 
@@ -282,14 +313,14 @@ class CheckConfig:
         return CheckConfig(patterns, profiles)
 
 
-def _matches(name: str, patterns: tuple[str, ...]) -> bool:
-    return not re.search(EXCLUDED, name, re.I) and any(re.search(p, name, re.I) for p in patterns)
+def _matches(name: str, phrases: tuple[str, ...], patterns: tuple[str, ...]) -> bool:
+    return names_one_of(name, phrases) or any(re.search(p, name, re.I) for p in patterns)
 
 
 def _judge(schema: C.Schema, check: str, config: CheckConfig) -> list[str]:
     out = []
-    credentials = (CREDENTIALS, *config.patterns.get("guessable_credentials", ()))
-    sensitive = (*credentials, *SENSITIVE, *config.patterns.get("unmasked_sensitive", ()))
+    credentials = CREDENTIALS, config.patterns.get("guessable_credentials", ())
+    sensitive = (*CREDENTIALS, *PERSONAL), (*credentials[1], *config.patterns.get("unmasked_sensitive", ()))
     for t in schema.live:
         if t.managed:
             continue
@@ -303,13 +334,13 @@ def _judge(schema: C.Schema, check: str, config: CheckConfig) -> list[str]:
         for c in t.columns:
             path = f"{where}.{c.name}"
             if check == "guessable_credentials":
-                guessable = _matches(c.name, credentials) and c.masked and not c.unset and c.replace_with_random is None
+                guessable = _matches(c.name, *credentials) and c.masked and not c.unset and c.replace_with_random is None
                 if guessable and not c.allow_guessable_credential:
                     out.append(f"{path}: a credential masked to a value that can be guessed")
                 if c.allow_guessable_credential and not guessable:
                     out.append(f"{path}: allow_guessable_credential guards nothing")
             else:
-                open_ = _matches(c.name, sensitive) and not c.masked and c.name not in exempt
+                open_ = _matches(c.name, *sensitive) and not c.masked and c.name not in exempt
                 if open_ and not c.allow_unmasked:
                     out.append(f"{path}: looks sensitive and isn't masked")
                 if c.allow_unmasked and not open_:
@@ -335,35 +366,33 @@ def static_checks(objects: dict[str, dict], overlays: dict[tuple[str, str], dict
     return report
 
 
-def generate_documents(frames: dict[str, P.StructType], old: dict[str, dict] | None = None, relations: dict[str, list[tuple[str, str]]] | None = None, safe: bool = True) -> dict[str, dict]:
-    """JSON objects of collections from nested types; structs and arrays of structs become embedded collections of their own."""
-    out: dict[str, dict] = {}
-    old = old or {}
+def introspect_documents(frames: dict[str, DataFrame] | dict[str, P.StructType], relations: dict[str, list[tuple[str, str]]] | None = None) -> list[Found]:
+    """Collections of a source, and the collections embedded in them: structs, and arrays of structs, by their path.
+
+    The fields are those of any document. A struct of one type at several places is a collection at each of them.
+    """
+    out: list[Found] = []
 
-    def add(name: str, kind: P.StructType, embedded: dict | None) -> None:
-        key = next((k for k in ("_id", "id") if k in kind.fieldNames()), kind.fieldNames()[0])
-        made: dict = {"name": name, "primary_key": key} | ({"embedded_in": embedded} if embedded else {})
-        links = [] if embedded else [{"table_name": p, "foreign_key": c} for c, p in (relations or {}).get(name, ())]
-        made["belongs_tos"] = links
-        known = {f["name"]: f for f in (old.get(name) or {}).get("fields") or []}
-        fields = []
+    def add(name: str, kind: P.StructType, embedded: tuple[str, str] | None) -> None:
+        own = P.StructType()
+        inner: list[tuple[str, P.StructType]] = []
         for f in kind.fields:
-            inner = f.dataType.elementType if isinstance(f.dataType, P.ArrayType) else f.dataType
-            if isinstance(inner, P.StructType) and set(inner.fieldNames()) != {"$oid"}:
-                root, path = (embedded["collection_name"], embedded["path"] + "." + f.name) if embedded else (name, f.name)
-                add(f"{name}_{f.name}", inner, {"collection_name": root, "path": path})
-                continue
-            if f.name in known:
-                fields.append(known[f.name])
-                continue
-            new: dict = {"name": f.name}
-            if safe and f.name != key and f.name not in {x["foreign_key"] for x in links}:
-                mask = default_mask(f.name, f.dataType, key)
-                new |= ({"replace_with": mask} if mask is not None else {}) | {"needs_mask_decision": True}
-            fields.append(new)
-        made["fields"] = fields
-        out[name] = made | {k: v for k, v in (old.get(name) or {}).items() if k not in made}
+            element = f.dataType.elementType if isinstance(f.dataType, P.ArrayType) else f.dataType
+            if isinstance(element, P.StructType) and set(element.fieldNames()) != {"$oid"}:
+                inner.append((f.name, element))
+            else:
+                own.add(f)
+        key = next((k for k in ("_id", "id") if k in own.fieldNames()), next(iter(own.fieldNames()), "_id"))
+        out.append(Found(name, own, key, () if embedded else tuple((relations or {}).get(name, ())), embedded=embedded, document=True))
+        for field_name, element in inner:
+            root, path = (embedded[0], f"{embedded[1]}.{field_name}") if embedded else (name, field_name)
+            add(f"{name}_{field_name}", element, (root, path))
 
     for name, kind in sorted(frames.items()):
-        add(name, kind, None)
+        add(name, kind if isinstance(kind, P.StructType) else kind.schema, None)
     return out
+
+
+def generate_documents(frames: dict[str, P.StructType], old: dict[str, dict] | None = None, relations: dict[str, list[tuple[str, str]]] | None = None, safe: bool = True) -> dict[str, dict]:
+    """JSON objects of collections from nested types; structs and arrays of structs become embedded collections of their own."""
+    return generate(introspect_documents(frames, relations), old, safe)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .config import ConfigError, Schema, Table
 from .graph import genuine
-from .operators.lower import Lowering
+from .operators.lower import Lowering, typed_values
 from .plans.nodes import All, Among, AnyOf, In, KeysOf, Nothing
 from .plans.resolver import Plan, Request
 
@@ -14,17 +14,21 @@ class DocumentResolver:
 
     A collection that reaches the target is narrowed by all its parents that do: strictly by the one with the fewest kept keys
     (the first on ties), and by the others where the field isn't null. One that reaches only reference collections is narrowed
-    strictly by all of them; one without relations is copied. Without kept keys of any such parent nothing is kept. Ancestors
-    of trees aren't added.
+    strictly by all of them that have kept keys; one without relations is copied. Where relations lead to no kept keys, nothing
+    is kept. Ancestors of trees aren't added.
+
+    measure: whether kept keys are counted, by a job for each parent, to tell the fewest; without, as to explain plans, every
+    parent counts as having one.
     """
 
-    def __init__(self, schema: Schema, request: Request, lowering: Lowering):
+    def __init__(self, schema: Schema, request: Request, lowering: Lowering, measure: bool = True):
         if request.target is None or request.target not in schema:
             raise ConfigError("documents need a target")
         if schema[request.target].embedded_in:
             raise ConfigError(f"{request.target} is embedded and can't be the target")
         self.schema, self.request, self.lowering = schema, request, lowering
         self.genuine = genuine(schema, request.target)
+        self.measure = measure
         self._known: dict[str, Plan] = {}
         self._sizes: dict[KeysOf, int] = {}
         self._building: list[str] = []
@@ -46,12 +50,14 @@ class DocumentResolver:
         return self._known[name]
 
     def _size(self, keys: KeysOf) -> int:
+        if not self.measure:
+            return 1
         if keys not in self._sizes:
             self._sizes[keys] = self.lowering.keys(keys).distinct().count()
         return self._sizes[keys]
 
     def _parents(self, table: Table) -> list:
-        return [b for b in table.belongs_tos if b.table_name in self.schema and b.table_name not in self._building and not b.polymorphic]
+        return [b for b in table.belongs_tos if b.table_name in self.schema and b.table_name not in self._building and not b.polymorphic and not self.schema[b.table_name].embedded_in]
 
     def _keys(self, b) -> KeysOf:
         parent = self.schema[b.table_name]
@@ -86,19 +92,17 @@ class DocumentResolver:
                     notes.append(f"reverse_scope of {table.name}: {arm.table} isn't narrowed; skipped")
             if arms:
                 return Plan(In(All(table.name), table.reverse_scope.column or table.primary_key, AnyOf(tuple(arms))), "reverse_scope", tuple(notes))
-        narrowed = [b for b in parents if self.plan(b.table_name).narrowed]
-        if narrowed:
-            node = All(table.name)
-            for b in narrowed:
-                node = In(node, b.foreign_key, self._keys(b))
-            return Plan(node, "reference", tuple(notes))
-        return Plan(All(table.name), "reference" if table.belongs_tos else "leaf", tuple(notes))
+        if not table.belongs_tos:
+            return Plan(All(table.name), "leaf", tuple(notes))
+        kept = [b for b in parents if self._size(self._keys(b))]
+        if not kept:
+            return Plan(Nothing(table.name), "nothing", (*notes, f"{table.name} has relations, but no parent with kept keys"))
+        node = All(table.name)
+        for b in kept:
+            node = In(node, b.foreign_key, self._keys(b))
+        return Plan(node, "reference", tuple(notes))
 
     def coerced(self, name: str, column: str) -> list:
-        """Ids as the column's type; digits may be texts or numbers, and 24 hex digits an object id's text."""
-        kind = self.lowering.table(name).schema[column].dataType.simpleString()
-        values = [v for ids in self.request.ids.values() for v in ids]
-        if kind in ("int", "bigint", "smallint"):
-            return [int(v) for v in values if str(v).lstrip("-").isdigit()]
-        return [str(v) for v in values]
-
+        """Ids as the column's type, in which object ids are texts; one that can't be of that type is an error."""
+        kind = self.lowering.table(name).schema[column].dataType
+        return typed_values([v for ids in self.request.ids.values() for v in ids], kind, column)

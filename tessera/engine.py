@@ -14,22 +14,24 @@ from .functions.masks import apply_masks, mask_document
 from .operators.lower import Lowering, batches, kept_counts, semi
 from .plans.nodes import All, Among, In, KeysOf
 from .plans.resolver import Context, Plan, Request, Resolver
-from .sources import Source
+from .sources import Source, tag
 
 
 class Extraction:
     """Which rows of each table a request keeps, and their masked columns.
 
-    dialect: "null" (a template that reads a null is null) or "empty" (it counts as an empty text).
+    dialect: "null" (a template that reads a null is null) or "empty" (it counts as an empty text). measure: whether plans of
+    documents may run jobs that count kept keys; without, plans are for explaining only.
     """
 
-    def __init__(self, schema: Schema, request: Request, source: Source, dialect: str = "null", apply_filters: str = "related"):
+    def __init__(self, schema: Schema, request: Request, source: Source, dialect: str = "null", apply_filters: str = "related", measure: bool = True):
         self.schema, self.request, self.dialect = schema, request, dialect
         self.source = source
+        self.batch_notes: list[str] = []
         self.lowering = Lowering(source)
         self.flavour = "document" if any(t.document for t in schema.live) else "table"
         if self.flavour == "document":
-            self.resolver = documents.DocumentResolver(schema, request, self.lowering)
+            self.resolver = documents.DocumentResolver(schema, request, self.lowering, measure)
         else:
             self.resolver = Resolver(schema, request, apply_filters)
         self.plans: dict[str, Plan] = self.resolver.plans()
@@ -38,7 +40,9 @@ class Extraction:
         """The kept rows, not masked."""
         if name not in self.plans:
             raise ConfigError(f"{name} isn't extracted")
-        return self.lowering.rows(self.plans[name].node)
+        rows = self.lowering.rows(self.plans[name].node)
+        tag(rows.sparkSession, name)
+        return rows
 
     def masked(self, name: str) -> DataFrame:
         """The kept rows with declared columns only, masked. Random masks differ in each evaluation."""
@@ -60,6 +64,8 @@ class Extraction:
         if not table.batch_scope:
             raise ConfigError(f"{name} has no batch_scope")
         holder = self.schema[table.batch_scope.table]
+        if holder.self_links:
+            self.batch_notes = [f"{name} is batched by {holder.name}, a tree: rows that only its ancestors would bring aren't in any batch"]
         # the batch table's own rows, without ancestors that a tree would add
         kept = self.lowering.rows(self.resolver.plan(holder.name, Context(ancestors=False)).node)
         numbered = batches(kept, holder.primary_key, table.batch_scope.size)
@@ -94,7 +100,7 @@ class Extraction:
         return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(name)
 
     def notes(self) -> list[str]:
-        return [n for p in self.plans.values() for n in p.notes]
+        return [n for p in self.plans.values() for n in p.notes] + self.batch_notes
 
     def classify(self, spark: SparkSession) -> DataFrame:
         """(table_name, category) of all tables."""

@@ -50,9 +50,10 @@ def index(seed: Column, size: int) -> Column:
 
 
 def index_of(hexed: Column, size: int) -> Column:
-    """`index` of a digest. Two halves of 32 bits keep the sum within a long."""
-    half = lambda at: F.conv(F.substring(hexed, at, 8), 16, 10).cast("long")
-    return ((half(1) % size * ((1 << 32) % size) + half(9)) % size).cast("int")
+    """`index` of a digest: fifteen hex digits fit in a long, and the sixteenth is the place of its digit."""
+    most = F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
+    last = F.instr(F.lit("123456789abcdef"), F.substring(hexed, 16, 1))
+    return ((most % size * 16 + last) % size).cast("int")
 
 
 def token(seed: Column) -> Column:
@@ -65,7 +66,12 @@ def pool_size(kind: str) -> int:
 
 
 def _pick(values: list[str], at: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), at.cast("int") + 1)
+    return F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
+
+
+def _over(at: Column, n: int) -> Column:
+    """The whole part of a quotient of counts, without a way over doubles."""
+    return ((at - at % n) / n).cast("int")
 
 
 def value(kind: str, seed: Column, locale: str = "en") -> Column:
@@ -82,7 +88,7 @@ def value_at(kind: str, hexed: Column, at: Column, locale: str = "en") -> Column
     if kind in PERSON_TYPES or kind in ("email", "username"):
         person = at
         # spread over both lists: every person is another pair
-        first, last = person % NAMES, (F.floor(person / NAMES) + person) % NAMES
+        first, last = person % NAMES, (_over(person, NAMES) + person) % NAMES
         kana = "_kana" if kind.endswith("_kana") else ""
         if kind.startswith("first_name"):
             return _pick(own["first" + kana], first)
@@ -91,8 +97,9 @@ def value_at(kind: str, hexed: Column, at: Column, locale: str = "en") -> Column
         if kind.startswith("human_name"):
             names = _pick(own["first" + kana], first), _pick(own["last" + kana], last)
             return F.concat_ws(" ", *(reversed(names) if locale == "ja" else names))
-        base = F.lower(F.concat(_pick(english["first"], first), F.lit("."), _pick(english["last"], last)))
-        return F.concat(base, F.lit("."), F.substring(hexed, 17, 16), F.lit("@example.com")) if kind == "email" else F.concat(base, F.lit("_"), F.substring(hexed, 17, 16))
+        small = {k: [v.lower() for v in english[k]] for k in ("first", "last")}
+        rest = (F.lit("." if kind == "email" else "_"), F.substring(hexed, 17, 16), *([F.lit("@example.com")] if kind == "email" else []))
+        return F.concat(_pick(small["first"], first), F.lit("."), _pick(small["last"], last), *rest)
     if kind == "phone_number":
         return F.format_string("(555) %03d-%04d", (at % 900 + 100).cast("int"), (at * 7919 % 10000).cast("int"))
     if kind == "address":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from .patch import mask_update
 from .plans.nodes import All, In, KeysOf, Nothing
 from .plans.resolver import Request
 from .sinks.escape import copy_line, json_line, tuple_text
+from .shared import shared_dir
 from .sinks.writer import chunk_rows
+from .sources import open_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 COLUMNS = {
@@ -229,10 +232,11 @@ def a06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a04_json_documents", "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user'")
 def a04(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as JSON lines and back, by a schema."""
+    """Documents written as JSON lines, and read as a source of collections by their schema."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select("conv_id", "turn", "role", "text")
-    lines = rows.select(json_line(rows.schema).alias("value"))
-    return lines.select(F.from_json("value", rows.schema).alias("x")).select("x.*")
+    at = f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+    rows.select(json_line(rows.schema).alias("value")).write.text(f"{at}/conversations.jsonl")
+    return open_source(spark, "mongodb", at, schemas={"conversations": rows.schema})("conversations")
 
 
 @query("g04_batched", f"SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN {IN_SCOPE})")

@@ -6,9 +6,11 @@ import json
 import os
 import subprocess
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +107,12 @@ def prepare(directory: str, confirm: Callable[[list[str]], bool] | None = None)
     return path
 
 
-def write(extraction, directory: str, output_format: str = "insert", dialect: str = "postgresql", hooks: list = (), confirm=None) -> Written:
+def write(extraction, directory: str, output_format: str = "insert", dialect: str = "postgresql", hooks: list = (), confirm=None, parallelism: int | None = None) -> Written:
     """Writes all tables of an extraction (tessera.engine.Extraction) in load order.
 
-    Statement files are made of the rows' texts, which stream through the driver a partition at a time; `parquet` is written
-    by the executors alone and is the format for large results. A table without rows has no file but keeps its number.
+    Statement files are made of the rows' texts, which stream through the driver a partition at a time. With `parallelism`, so
+    many tables are written at a time, each by the executors alone as a folder of parts (`write_parts`, or Parquet); this is
+    the way for large results. A table without rows has no file but keeps its number.
     """
     if output_format not in FORMATS or output_format == "copy" and dialect != "postgresql":
         raise ConfigError(f"format {output_format!r} isn't known for {dialect}")
@@ -121,20 +124,27 @@ def write(extraction, directory: str, output_format: str = "insert", dialect: st
         table = extraction.schema[name]
         schema_text.append(create_collection(name, table.primary_key or "_id") if table.document else create_table(table, extraction.source(name).schema, dialect))
     (path / ("insert-000-schema.js" if any(t.document for t in extraction.schema.tables) else "insert-000-schema.sql")).write_text("\n".join(schema_text), encoding="utf-8")
-    for number, name in enumerate(order, 1):
+
+    def one(number: int, name: str) -> tuple[str, int, str]:
         table = extraction.schema[name]
-        if table.ignore or name not in extraction.plans:
-            continue
         try:
             rows = extraction.masked(name)
-            ending = "jsonl" if table.document or output_format == "jsonl" else "parquet" if output_format == "parquet" else "sql"
-            target = path / f"insert-{number:03d}-{name}.{ending}"
-            n = _write_parquet(rows, table, target) if ending == "parquet" else _write_text(rows, table, target, "jsonl" if ending == "jsonl" else output_format, dialect)
+            kind = "jsonl" if table.document else output_format
+            target = path / f"insert-{number:03d}-{name}.{kind if kind in ('jsonl', 'parquet') else 'sql'}"
+            if kind == "parquet":
+                n = _write_parquet(rows, table, target)
+            else:
+                n = write_parts(rows, table, str(target), kind, dialect) if parallelism else _write_text(rows, table, target, kind, dialect)
         except Exception as e:
             raise WriteFailed(f"{name}: {e}\n{extraction.plans[name].explain()}") from e
-        done.rows[name] = n
-        if n:
-            done.files[name] = target.name
+        return name, n, target.name
+
+    todo = [(k, n) for k, n in enumerate(order, 1) if not extraction.schema[n].ignore and n in extraction.plans]
+    with ThreadPoolExecutor(parallelism or 1) as pool:
+        for name, n, file in pool.map(lambda x: one(*x), todo):
+            done.rows[name] = n
+            if n:
+                done.files[name] = file
     for k, hook in enumerate(hooks):
         run_hook(hook, extraction, path, len(order) + 1 + k)
     (path / "manifest.json").write_text(json.dumps({"order": done.order, "files": done.files, "rows": done.rows}, indent=1), encoding="utf-8")
@@ -177,6 +187,45 @@ def _write_text(rows: DataFrame, table: Table, target: Path, output_format: str,
     return n
 
 
+def write_parts(rows: DataFrame, table: Table, target: str, output_format: str, dialect: str = "postgresql", parts: int | None = None) -> int:
+    """Writes a table's rows as a folder of text files, one for each range of primary keys, all of them by executors.
+
+    Each file is complete: its statements hold at most the table's chunk of rows, and those around the data are in each.
+    """
+    from pyspark.sql import Observation
+
+    key = F.col(f"`{table.primary_key}`") if table.primary_key in rows.columns else F.col(f"`{rows.columns[0]}`")
+    kinds = [(f.name, f.dataType) for f in rows.schema.fields]
+    line = {"insert": lambda: tuple_text(kinds, dialect), "copy": lambda: copy_line(kinds), "jsonl": lambda: json_line(rows.schema)}[output_format]()
+    ranged = rows.repartitionByRange(parts, key) if parts else rows.repartitionByRange(key)
+    seen = Observation()
+    lines = ranged.sortWithinPartitions(key).observe(seen, F.count("*").alias("n")).select(line.alias("value"))
+    if output_format != "jsonl":
+        names = [n for n, _ in kinds]
+        before, after, chunk = before_statements(dialect), after_statements(table, dialect), chunk_rows(table)
+        head = insert_header(table, names, dialect) if output_format == "insert" else f"COPY {quote_name(table.name, dialect)} (" + ", ".join(quote_name(c, dialect) for c in names) + ") FROM stdin;\n"
+
+        def complete(batches):
+            n, held = 0, None
+            for batch in batches:
+                out = []
+                for value in batch.column(0).to_pylist():
+                    if output_format == "copy":
+                        out.append((before + head if not n else "") + value)
+                    else:
+                        if held is not None:
+                            out.append(held + (";" if n % chunk == 0 else ","))
+                        held = ((before if not n else "") + head if n % chunk == 0 else "") + value
+                    n += 1
+                yield pa.record_batch({"value": pa.array(out, pa.string())})
+            if n:
+                yield pa.record_batch({"value": pa.array([((held + ";") if held is not None else "\\.") + ("\n" + after.rstrip("\n") if after else "")], pa.string())})
+
+        lines = lines.mapInArrow(complete, "value string")
+    lines.write.mode("overwrite").text(target)
+    return seen.get["n"]
+
+
 class HookContext:
     """What a hook sees: the extraction, ids that were kept, and files to add."""
 

@@ -53,6 +53,23 @@ def catalog(spark: SparkSession, database: str | None = None) -> Source:
     return lambda name: spark.table(f"{database}.{name}" if database else name)
 
 
+def discover(spark: SparkSession, adapter: str, location: str) -> list[str] | None:
+    """The tables of a source, sorted; None where the source can't say. A location that can't be read is an error."""
+    adapter = adapter_name(adapter)
+    if adapter == "catalog":
+        return sorted(t.name for t in spark.catalog.listTables(location or None) if t.tableType not in ("VIEW", "TEMPORARY"))
+    ending = {"parquet": ".parquet", "json": ".jsonl", "jsonl": ".jsonl", "mongodb": ".jsonl"}.get(adapter)
+    if ending is None:
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    try:
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    except Exception as e:
+        raise ConfigError(f"{location} can't be listed: {str(e).splitlines()[0]}") from e
+    names = [f.getPath().getName() for f in found]
+    return sorted(n.removesuffix(ending) for n in names if n.endswith(ending))
+
+
 def given(frames: dict[str, DataFrame]) -> Source:
     """DataFrames that the caller has made."""
 

@@ -49,25 +49,25 @@ def shop(spark):
     })
 
 
-# Scope columns, shared and separate polymorphic keys, a batch
+# Scope columns, shared and separate polymorphic keys, a batch: a library with branches
 SCOPED = [
-    t("accounts", ["id", "tenant_id", "name"], scope_column="tenant_id"),
-    t("orders", ["id", "tenant_id", "amount"], scope_column="tenant_id"),
-    t("order_lines", ["id", "order_id", "qty"], [("order_id", "orders")]),
-    t("regions", ["id", "code"], scope_exempt=True),
-    t("attachments", ["id", "attachable_type", "attachable_id", "label"], [("attachable_id", "accounts", "attachable_type", "Account"), ("attachable_id", "orders", "attachable_type", "Order")]),
-    t("notes", ["id", "notable_type", "account_id", "order_id"], [("account_id", "accounts", "notable_type", "Account"), ("order_id", "orders", "notable_type", "Order")]),
+    t("members", ["id", "branch_id", "name"], scope_column="branch_id"),
+    t("loans", ["id", "branch_id", "days"], scope_column="branch_id"),
+    t("loan_books", ["id", "loan_id", "copies"], [("loan_id", "loans")]),
+    t("genres", ["id", "code"], scope_exempt=True),
+    t("stamps", ["id", "of_type", "of_id", "label"], [("of_id", "members", "of_type", "Member"), ("of_id", "loans", "of_type", "Loan")]),
+    t("fines", ["id", "for_type", "member_id", "loan_id"], [("member_id", "members", "for_type", "Member"), ("loan_id", "loans", "for_type", "Loan")]),
 ]
 
 
 def scoped(spark):
     return frames(spark, {
-        "accounts": ("id long, tenant_id long, name string", [(1, 1, "a"), (2, 2, "b")]),
-        "orders": ("id long, tenant_id long, amount int", [(1, 1, 100), (2, 1, 200), (3, 2, 300), (4, 1, 400)]),
-        "order_lines": ("id long, order_id long, qty int", [(1, 1, 5), (2, 2, 6), (3, 3, 7), (4, 4, 8)]),
-        "regions": ("id long, code string", [(1, "JP"), (2, "US")]),
-        "attachments": ("id long, attachable_type string, attachable_id long, label string", [(1, "Account", 1, "A1"), (2, "Order", 1, "O1"), (3, "Account", 2, "A2"), (4, "Order", 3, "O3"), (5, "Order", 2, "O2"), (6, "Account", 3, "A3")]),
-        "notes": ("id long, notable_type string, account_id long, order_id long", [(1, "Account", 1, None), (2, "Order", None, 1), (3, "Account", 2, None), (4, "Order", None, 3), (5, "Order", None, 2)]),
+        "members": ("id long, branch_id long, name string", [(1, 1, "a"), (2, 2, "b"), (3, 1, "c")]),
+        "loans": ("id long, branch_id long, days int", [(1, 1, 7), (2, 1, 14), (3, 2, 21), (4, 1, 28)]),
+        "loan_books": ("id long, loan_id long, copies int", [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 4, 3)]),
+        "genres": ("id long, code string", [(1, "SF"), (2, "PO")]),
+        "stamps": ("id long, of_type string, of_id long, label string", [(1, "Member", 1, "m1"), (2, "Loan", 1, "l1"), (3, "Member", 2, "m2"), (4, "Loan", 3, "l3"), (5, "Loan", 2, "l2"), (6, "Member", 9, "m9"), (7, "Member", 3, "m3")]),
+        "fines": ("id long, for_type string, member_id long, loan_id long", [(1, "Member", 1, None), (2, "Loan", None, 1), (3, "Member", 2, None), (4, "Loan", None, 3), (5, "Loan", None, 4)]),
     })
 
 
@@ -75,8 +75,8 @@ def scoped(spark):
 SPACES = [
     t("tenants", ["id", "name"], scope_column="id"),
     t("projects", ["id", "tenant_id"], [("tenant_id", "tenants")]),
-    t("organizations", ["id", "name"], scope_column="id", id_space="org"),
-    t("members", ["id", "organization_id", {"name": "email", "replace_with": "m{id}@example.com"}], [("organization_id", "organizations")]),
+    t("guilds", ["id", "name"], scope_column="id", id_space="org"),
+    t("artisans", ["id", "guild_id", {"name": "email", "replace_with": "m{id}@example.com"}], [("guild_id", "guilds")]),
 ]
 
 
@@ -84,8 +84,8 @@ def spaces(spark):
     return frames(spark, {
         "tenants": ("id long, name string", [(1, "a"), (2, "b")]),
         "projects": ("id long, tenant_id long", [(1, 1), (2, 1), (3, 2)]),
-        "organizations": ("id string, name string", [("ORG1", "x"), ("ORG2", "y")]),
-        "members": ("id long, organization_id string, email string", [(1, "ORG1", "e"), (2, "ORG2", "f"), (3, "ORG1", None)]),
+        "guilds": ("id string, name string", [("G1", "x"), ("G2", "y")]),
+        "artisans": ("id long, guild_id string, email string", [(1, "G1", "e"), (2, "G2", "f"), (3, "G1", None)]),
     })
 
 
@@ -112,21 +112,21 @@ def d(name, fields, relations=(), **rest):
 
 
 DOCUMENTS = [
-    d("organizations", ["_id"]),
-    d("articles", ["_id", "organization_id", "author_id"], [("organization_id", "organizations")]),
-    d("invitations", ["_id", "organization_id", "invitee_id"], [("organization_id", "organizations")]),
-    d("accounts", ["_id", {"name": "name", "replace_with": "masked-{_id}"}], reverse_scope={"via": [{"table": "articles", "column": "author_id"}, {"table": "invitations", "column": "invitee_id"}]}),
-    d("profiles", ["_id", "account_id", "bio"], [("account_id", "accounts")]),
+    d("clubs", ["_id"]),
+    d("matches", ["_id", "club", "referee"], [("club", "clubs")]),
+    d("trainings", ["_id", "club", "coach"], [("club", "clubs")]),
+    d("people", ["_id", {"name": "name", "replace_with": "masked-{_id}"}], reverse_scope={"via": [{"table": "matches", "column": "referee"}, {"table": "trainings", "column": "coach"}]}),
+    d("licences", ["_id", "person", "grade"], [("person", "people")]),
 ]
 
 
 def documents(spark):
     return frames(spark, {
-        "organizations": ("_id string", [("ORG1",), ("ORG2",)]),
-        "articles": ("_id string, organization_id string, author_id string", [("a1", "ORG1", "acc1"), ("a2", "ORG1", "acc2"), ("a3", "ORG1", None), ("a4", "ORG2", "acc4")]),
-        "invitations": ("_id string, organization_id string, invitee_id string", [("i1", "ORG1", "acc2"), ("i2", "ORG1", "acc3"), ("i3", "ORG2", "acc5")]),
-        "accounts": ("_id string, name string", [(f"acc{i}", None if i == 3 else f"n{i}") for i in range(1, 6)]),
-        "profiles": ("_id string, account_id string, bio string", [(f"p{i}", f"acc{i}", "b") for i in range(1, 6)]),
+        "clubs": ("_id string", [("north",), ("south",)]),
+        "matches": ("_id string, club string, referee string", [("m1", "north", "ann"), ("m2", "north", "bob"), ("m3", "north", None), ("m4", "south", "dan")]),
+        "trainings": ("_id string, club string, coach string", [("t1", "north", "bob"), ("t2", "north", "cy"), ("t3", "south", "eve")]),
+        "people": ("_id string, name string", [(p, None if p == "cy" else p.upper()) for p in ("ann", "bob", "cy", "dan", "eve")]),
+        "licences": ("_id string, person string, grade string", [(f"l-{p}", p, "a") for p in ("ann", "bob", "cy", "dan", "eve")]),
     })
 
 

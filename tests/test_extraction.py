@@ -1,6 +1,7 @@
 import pytest
 
 from tessera.config import ConfigError
+from tessera import config as C
 from tessera.engine import Extraction, dangling
 from tessera.operators import lower
 from tessera.plans.resolver import Request
@@ -34,24 +35,24 @@ def test_alternate_key_and_no_recursion(spark):
         kept(spark, X.SHOP, X.shop, Request.of("shops", ["x1"]))
 
 
-@pytest.mark.parametrize("target", [None, "orders"])
+@pytest.mark.parametrize("target", [None, "loans"])
 def test_scope(spark, target):
     _, got = kept(spark, X.SCOPED, X.scoped, Request.of(target, [1]))
-    assert got == {"accounts": [1], "orders": [1, 2, 4], "order_lines": [1, 2, 4], "regions": [1, 2], "attachments": [1, 2, 5], "notes": [1, 2, 5]}
+    assert got == {"members": [1, 3], "loans": [1, 2, 4], "loan_books": [1, 2, 4, 5], "genres": [1, 2], "stamps": [1, 2, 5, 7], "fines": [1, 2, 5]}
 
 
 def test_batches_equal_the_unbatched_run(spark):
-    objects = [o | {"batch_scope": {"table": "orders", "size": 2}} if o["name"] == "order_lines" else o for o in X.SCOPED]
+    objects = [o | {"batch_scope": {"table": "loans", "size": 2}} if o["name"] == "loan_books" else o for o in X.SCOPED]
     e, _ = kept(spark, objects, X.scoped, Request.of(ids=[1]))
-    rows = sorted((r.id, r.batch) for r in e.batched("order_lines").collect())
-    assert rows == [(1, 0), (2, 0), (4, 1)]
-    assert "batches of 2 keys of orders" in e.explain()
+    rows = sorted((r.id, r.batch) for r in e.batched("loan_books").collect())
+    assert rows == [(1, 0), (2, 0), (4, 1), (5, 1)]
+    assert "batches of 2 keys of loans" in e.explain()
 
 
 def test_spaces(spark):
-    _, got = kept(spark, X.SPACES, X.spaces, Request.of(ids={"default": [1], "org": ["ORG1"]}))
-    assert got == {"tenants": [1], "projects": [1, 2], "organizations": ["ORG1"], "members": [1, 3]}
-    for ids in ({"default": [1]}, {"default": [1], "org": ["ORG1"], "other": [2]}):
+    _, got = kept(spark, X.SPACES, X.spaces, Request.of(ids={"default": [1], "org": ["G1"]}))
+    assert got == {"tenants": [1], "projects": [1, 2], "guilds": ["G1"], "artisans": [1, 3]}
+    for ids in ({"default": [1]}, {"default": [1], "org": ["G1"], "other": [2]}):
         with pytest.raises(ConfigError, match="ID space"):
             kept(spark, X.SPACES, X.spaces, Request.of(ids=ids))
 
@@ -80,9 +81,9 @@ def test_two_links_and_a_referenced_column(spark):
 
 
 def test_documents(spark):
-    e, got = kept(spark, X.DOCUMENTS, X.documents, Request.of("organizations", ["ORG1"]))
-    assert got == {"organizations": ["ORG1"], "articles": ["a1", "a2", "a3"], "invitations": ["i1", "i2"], "accounts": ["acc1", "acc2", "acc3"], "profiles": ["p1", "p2", "p3"]}
-    assert {r["_id"]: r["name"] for r in e.masked("accounts").collect()} == {"acc1": "masked-acc1", "acc2": "masked-acc2", "acc3": None}
+    e, got = kept(spark, X.DOCUMENTS, X.documents, Request.of("clubs", ["north"]))
+    assert got == {"clubs": ["north"], "matches": ["m1", "m2", "m3"], "trainings": ["t1", "t2"], "people": ["ann", "bob", "cy"], "licences": ["l-ann", "l-bob", "l-cy"]}
+    assert {r["_id"]: r["name"] for r in e.masked("people").collect()} == {"ann": "masked-ann", "bob": "masked-bob", "cy": None}
 
 
 def test_document_anchor_is_the_smallest_and_others_allow_null(spark):
@@ -124,3 +125,34 @@ def test_keys_of_array_fields(spark):
     data = {"roots": ("_id string", [("r",)]), "lists": ("_id string, root string, members array<string>", [("1", "r", ["a", "b", None]), ("2", "x", ["c"]), ("3", "r", None)]), "people": ("_id string", [("a",), ("b",), ("c",)])}
     _, got = kept(spark, objects, lambda s: X.frames(s, data), Request.of("roots", ["r"]))
     assert got["people"] == ["a", "b"]
+
+
+def test_reference_documents_are_narrowed_by_all_parents(spark):
+    """By every parent with kept keys, in full or not; without any by nothing at all."""
+    objects = [X.d("roots", ["_id"]), X.d("tags", ["_id"]), X.d("none", ["_id"]), X.d("labels", ["_id", "tag", "other"], [("tag", "tags"), ("other", "none")]), X.d("loose", ["_id", "other"], [("other", "none")])]
+    data = {
+        "roots": ("_id string", [("r",)]), "tags": ("_id long", [(1,), (2,)]), "none": ("_id long", []),
+        "labels": ("_id long, tag long, other long", [(1, 1, None), (2, None, 1), (3, 99, 1)]), "loose": ("_id long, other long", [(1, None), (2, 1)]),
+    }
+    e, got = kept(spark, objects, lambda s: X.frames(s, data), Request.of("roots", ["r"]))
+    assert got["labels"] == [1] and got["loose"] == [] and got["tags"] == [1, 2]
+    assert e.plans["loose"].rule == "nothing"
+
+
+def test_document_ids_of_another_type_are_errors(spark):
+    source = X.frames(spark, {"roots": ("_id long", [(1,), (2,)])})
+    with pytest.raises(C.ConfigError, match="abc"):
+        Extraction(X.schema([X.d("roots", ["_id"])]), Request.of("roots", ["abc", 1]), source)
+
+
+def test_explaining_documents_counts_nothing(spark):
+    source = X.documents(spark)
+    read = []
+
+    def watched(name):
+        read.append(name)
+        return source(name)
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    e = Extraction(X.schema(X.DOCUMENTS), Request.of("clubs", ["north"]), watched, measure=False)
+    assert "matches: genuine" in e.explain() and spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
