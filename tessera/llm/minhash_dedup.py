@@ -473,7 +473,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
         if labels is None:
             named = spots.select("*", F.col("sid").alias("component"), F.lit(1).cast("long").alias("weight"))
         else:
-            sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component")
+            # a table of its own: a join that doesn't share its shuffle with the aggregate can deal a large component anew
+            sized = labels.join(X.cut(labels.groupBy("component").agg(F.count("*").alias("weight"))), "component")
             named = spots.join(sized, spots.sid == sized.node, "left").select("bucket", "sid", "n", "sketch", F.coalesce("component", "sid").alias("component"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
         more = _confirm(_anchored(found, named, similarity, step > 0), texts, parts, width, similarity) if step < 2 else _remaining(found, named, texts, parts, width, similarity)
         more = X.cut(more.coalesce(parts))
@@ -481,8 +482,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
             links = more if links is None else links.unionByName(more)
             labels = X.cut(components(links))
     least = some.groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, least.sid == labels.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
-    final = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sid", "component_id")
+    named = X.cut(least.join(labels, least.sid == labels.node, "left").select("sid", "least", F.coalesce("component", "sid").alias("component")))
+    final = named.join(X.cut(named.groupBy("component").agg(F.min("least").alias("component_id"))), "component").select("sid", "component_id")
     out = scanned.select("doc_id", "tag", "n", "sid").join(final, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"))
