@@ -378,7 +378,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> Dat
 
         def keep(batches, shared=shared):
             test = shared.value
-            for block in T.blocks(batches, "text", X.BLOCK_BYTES):
+            for block in T.blocks(batches, "text", X.BLOCK_BYTES // 2):
                 segment = Segment.build(block.column("text"), test.vocabulary)
                 stay = np.ones(block.num_rows, bool)
                 for _, _, _, _, start in _matches(segment, test):

@@ -153,7 +153,7 @@ def plan(lengths: list[int], window: int) -> list[tuple[int, list[tuple[int, int
     return out
 
 
-def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 6 << 20) -> DataFrame:
     """Packs all documents; one row for each piece of a document in a sequence, with its token ids.
 
     A sequence is the ids of its pieces in the order of their offsets: `window` ids in all.
@@ -198,6 +198,6 @@ def digests(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(emit, DIGESTS)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, block_bytes: int = 6 << 20) -> DataFrame:
     """The digests of `sequences`."""
     return digests(sequences(docs, tokenizer, window, end, block_bytes))

@@ -291,7 +291,7 @@ def annotate(docs: DataFrame, model: Model, spans: bool = True, least: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def emit(batches):
-        for block in T.blocks(batches, "text", 4 << 20):
+        for block in T.blocks(batches, "text", 2 << 20):
             score, rest = score_batch(shared.value, block.column("text"))
             found = _spans(*rest, least) if spans else [None] * block.num_rows
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
