@@ -129,6 +129,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["export", "--bad"], spark) == 2
 
 
+def test_tables_are_discovered_and_nothing_is_tidied_by_accident(spark, tmp_path, capsys):
+    schema, data = tmp_path / "schema", tmp_path / "data"
+    source = X.shop(spark)
+    for name in ("shops", "users"):
+        source(name).write.parquet(str(data / f"{name}.parquet"))
+    base = ["--schema-dir", str(schema), "--source", str(data)]
+    assert main(["schema", "generate", *base, "--keys", '{"shops": "id", "users": "id"}', "--relations", '{"users": [["shop_id", "shops"]]}'], spark) == 0
+    users = json.loads((schema / "users.json").read_text())
+    assert users["primary_key"] == "id" and users["belongs_tos"] == [{"table_name": "shops", "foreign_key": "shop_id"}]
+    source("products").write.parquet(str(data / "products.parquet"))
+    assert main(["schema", "check", *base], spark) == 1 and json.loads(capsys.readouterr().out)["added_tables"] == ["products"]
+    # a folder that can't be read, or is empty, or a table that can't be read: an error, and all configs stay
+    (tmp_path / "empty").mkdir()
+    for bad in (str(tmp_path / "gone"), str(tmp_path / "empty")):
+        assert main(["schema", "tidy", "--schema-dir", str(schema), "--source", bad], spark) == 2
+    (data / "broken.parquet").write_text("not parquet")
+    assert main(["schema", "tidy", *base], spark) == 2 and (schema / "users.json").exists()
+    (data / "broken.parquet").unlink()
+    assert main(["mask-update", *base, "--ids", "1"], spark) == 2 and "--target-table" in capsys.readouterr().err
+    assert sources.discover(spark, "parquet", str(data)) == ["products", "shops", "users"] and sources.discover(spark, "mysql", "jdbc:x") is None
+
+
+def test_embedded_fields_are_tidied():
+    inner = P.StructType().add("_id", "string").add("title", "string")
+    old = K.generate_documents({"users": P.StructType().add("_id", "string").add("mail", "string").add("posts", P.ArrayType(inner.add("gone", "string")))})
+    found = K.introspect_documents({"users": P.StructType().add("_id", "string").add("posts", P.ArrayType(P.StructType().add("_id", "string").add("title", "string")))})
+    made = K.tidy(found, old)
+    assert [f["name"] for f in made["users"]["fields"]] == ["_id"] and [f["name"] for f in made["users_posts"]["fields"]] == ["_id", "title"]
+    assert "users_posts" not in K.tidy(K.introspect_documents({"users": P.StructType().add("_id", "string")}), old)
+
+
 def test_sources(spark, tmp_path):
     assert sources.adapter_name("sqlite3") == "sqlite" and sources.adapter_name("trilogy") == "mysql"
     with pytest.raises(C.ConfigError):

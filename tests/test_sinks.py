@@ -54,6 +54,17 @@ def test_copy_parquet_and_dialects(spark, tmp_path):
         write(extraction(spark), str(tmp_path / "x"), "copy", "mysql")
 
 
+def test_parts_written_by_executors(spark, tmp_path):
+    one = write(extraction(spark), str(tmp_path / "one"), "insert", "postgresql")
+    many = write(extraction(spark), str(tmp_path / "many"), "insert", "postgresql", parallelism=3)
+    assert one.rows == many.rows and one.files == many.files
+    for name, file in many.files.items():
+        parts = [p.read_text() for p in sorted((tmp_path / "many" / file).glob("part-*")) if p.stat().st_size]
+        tuples = lambda text: sorted(x.rstrip(",;") for x in text.split("\n") if x.startswith("("))
+        assert tuples("\n".join(parts)) == tuples((tmp_path / "one" / file).read_text()), name
+        assert all("session_replication_role" in p and "setval" in p and p.count("INSERT INTO") == 1 for p in parts)
+
+
 def test_chunks_and_empty_tables(spark, tmp_path):
     objects = [o | {"bulk_insert_chunk_size": 2} if o["name"] == "orders" else o for o in X.SHOP]
     e = Extraction(X.schema(objects), Request.of("shops", [1]), X.shop(spark))
